@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm import language, packing, survivorship, term_stats, tokenizer
+from loomdex.llm import language, packing, reading, survivorship, term_stats, tokenizer
 from loomdex.llm.labels import language_code
 from loomdex.session import table, written
 
@@ -70,6 +70,25 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(_packed(spark, d))
 
 
+def _levels(spark: SparkSession, d: str, keep: list[str]) -> DataFrame:
+    graded = language.bounded_samples(table(spark, d, "graded_samples"), F.col("level"), F.col("text"), reading.SAMPLES_PER_LEVEL)
+    labelled = language.bounded_samples(table(spark, d, "lang_samples"), language_code(F.col("language")), F.col("text"), reading.SAMPLES_PER_LANGUAGE)
+    model, _ = reading.train(graded, labelled)
+    return reading.reading_levels(table(spark, d, "documents"), model, keep)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.demanding(_levels(spark, d, ["doc_id"])).select("doc_id")
+
+
+def p8_levels(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d, ["doc_id"])
+
+
+def p8_profile(spark: SparkSession, d: str) -> DataFrame:
+    return reading.profile(_levels(spark, d, ["source"]))
+
+
 # DuckDB has no NFKD: accents, full-width forms and the two ligatures of the data are named one by one
 _WIDE, _NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))).replace("＇", ""), "".join(map(chr, range(0x21, 0x7F))).replace("'", "")
 _P1 = f"""
@@ -113,7 +132,7 @@ P6_ROUND_TRIP_SQL = "select doc_id, coalesce(text, '') as text from documents"
 
 
 def queries() -> dict:
-    own = [p1_found, p1_terms, p3_found, p3_segments, p3_languages, p5_found, p5_survivors, p6_ids, p6_round_trip, p7_containers, p7_fill]
+    own = [p1_found, p1_terms, p3_found, p3_segments, p3_languages, p5_found, p5_survivors, p6_ids, p6_round_trip, p7_containers, p7_fill, p8_found, p8_levels, p8_profile]
     return {f.__name__: f for f in own}
 
 
