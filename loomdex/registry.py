@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomdex import queries as engine
 from loomdex.operators.dense_counts import dense_key_counts, hot_keys
 from loomdex.operators.references import ledger_of
 from loomdex.session import table
@@ -66,8 +67,8 @@ from o group by 1, 2"""
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p2_term_counts": p2_term_counts, "p4_found": p4_found, "p4_report": p4_report}
+    return engine.QUERIES | {"p2_found": p2_found, "p2_term_counts": p2_term_counts, "p4_found": p4_found, "p4_report": p4_report}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND_SQL, "p2_term_counts": P2_COUNTS_SQL, "p4_found": P4_FOUND_SQL, "p4_report": P4_REPORT_SQL}
+    return engine.SQL | {"p2_found": P2_FOUND_SQL, "p2_term_counts": P2_COUNTS_SQL, "p4_found": P4_FOUND_SQL, "p4_report": P4_REPORT_SQL}
