@@ -50,16 +50,16 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return container, place, offset
 
 
-def pack(sized: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, group_items: int = GROUP_ITEMS, seed: int = 0) -> DataFrame:
+def pack(sized: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, group_items: int = GROUP_ITEMS, seed: int = 0, n_items: int | None = None) -> DataFrame:
     """Containers for items (id, n_tokens): container string, place int, offset int, id, piece int, token_start long, n_tokens int.
 
     An item that exceeds the capacity is cut into pieces of the whole capacity, which fill containers of their own, and a rest that is
     packed like any item; no other item is cut. Items without tokens, or of null size, take no place. Repeated rows are items of their
-    own. Groups are drawn by hash of id and seed, so that they have like numbers of items and no order of the input matters.
+    own. n_items: number of rows, where it is known without computing the sizes. Groups are drawn by hash of id and seed, so that they have like numbers of items and no order of the input matters.
     """
     kind = sized.schema[id_col].dataType.simpleString()
     items = sized.select(F.col(id_col).cast("string").alias("id"), F.col("n_tokens").cast("bigint").alias("n"))
-    groups = max(1, -(-items.count() // group_items))
+    groups = max(1, -(-(items.count() if n_items is None else n_items) // group_items))
     items = items.filter("n > 0").withColumn("grp", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(groups)))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

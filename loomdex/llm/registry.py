@@ -59,7 +59,8 @@ def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(tokenizer.count_tokens(table(spark, d, "documents"), ["doc_id"]))
+    docs = table(spark, d, "documents")
+    return packing.pack(tokenizer.count_tokens(docs, ["doc_id"]), n_items=docs.count())
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
