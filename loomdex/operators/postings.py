@@ -32,7 +32,8 @@ def build_postings(texts: DataFrame, config: AnalyzerConfig = AnalyzerConfig(det
     needs no other shuffle, so the exploded tokens, many times the texts' size, never travel.
     """
     keep = ["file_id", "text"]
-    d = texts.select(*keep).repartition("file_id").withColumn("normal", normalise(F.col("text"))).drop("text")
+    # a fixed number: small texts are much work, and fewer partitions would leave cores idle
+    d = texts.select(*keep).repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_id").withColumn("normal", normalise(F.col("text"))).drop("text")
     if config.remove_stop_words:
         d = d.withColumn("language", detect_language(F.col("normal")) if config.detect_language else F.lit(None).cast("string"))
     words = d.select("file_id", *(["language"] if config.remove_stop_words else []), F.posexplode(tokens(F.col("normal"))).alias("pos", "term"))

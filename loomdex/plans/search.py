@@ -161,17 +161,14 @@ class Search:
 
     def found(self) -> DataFrame:
         """Files of the scope that fit the query, with their matches, before ranking."""
-        files = self.index.files.filter(in_scope(F.col("path"), self.scope))
-        if self.root is None:
-            return files.limit(0)
-        d = files
+        d = self.index.files.filter(in_scope(F.col("path"), self.scope))
         if self.terms:
             d = d.join(self.matches(), "file_id", "left")
         else:
             d = d.withColumns({"leaves": F.lit(None).cast("array<int>"), "matched_terms": F.lit(None).cast("array<string>"), "hits": F.lit(None).cast("array<struct<term_frequency:int,document_frequency:bigint>>")})
         if self.phrases:
             d = d.join(phrase_matches(self.index.postings, self.phrases), "file_id", "left")
-        return d.filter(self._test(self.root))
+        return d.filter(F.lit(False) if self.root is None else self._test(self.root))
 
     def total(self) -> DataFrame:
         """One row, total_count: files that fit, ranked or not."""

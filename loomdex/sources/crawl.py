@@ -23,7 +23,8 @@ class CrawlConfig:
 def listed(spark: SparkSession, roots: list[str], config: CrawlConfig = CrawlConfig(), content: bool = False) -> DataFrame:
     """(path, size, modified_time, extension[, content]) of the files that are indexed, from all folders at once.
 
-    Order of tests: ignore rules, hidden names, extractor, size. Without `content` the bytes are never read; the size bound is pushed to the source.
+    Spark's file sources never list names that begin with a point or an underscore, so hidden files stay out whatever `skip_hidden` says; it
+    decides on files in hidden folders given as roots. Order of tests: ignore rules, hidden names, extractor, size. Without `content` the bytes are never read; the size bound is pushed to the source.
     """
     d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(roots)
     if config.max_bytes > 0:

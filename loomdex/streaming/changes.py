@@ -11,17 +11,20 @@ from pyspark.sql.streaming import StreamingQuery
 QUIET = "300 milliseconds"
 
 
-def debounced(events: DataFrame, quiet: str = QUIET, watermark: str = "10 seconds") -> DataFrame:
+def debounced(events: DataFrame, quiet: str = QUIET, watermark: str = "10 seconds", by: str | None = None) -> DataFrame:
     """(flush_at, path, event, n_events) of events (ts timestamp, path, event): a batch or a stream.
 
     Events closer together than `quiet`, of whatever path, make one flush; of each path in it the last event holds (of equal times the one
     that comes last by name). The flush is a session over all paths, found in two steps: per-path sessions cannot tell it, so sessions of the
-    whole stream carry a map from path to its last event, which is merged as sessions merge.
+    whole stream carry its events until the flush. by: a column that keeps independent streams apart (a folder, a machine), each with quiet
+    periods and state of its own; without it one task holds the open session, as the quiet period is one for all paths.
     """
     if events.isStreaming:
         events = events.withWatermark("ts", watermark)
-    rows = events.select("ts", F.struct("path", "ts", "event").alias("e"))
-    flush = rows.groupBy(F.session_window("ts", quiet)).agg(F.collect_list("e").alias("all"))
+    # a streaming session needs a key beside it; this one is the same for all rows without being a literal
+    key = F.col(by) if by else F.length(F.coalesce("path", F.lit(""))) * 0
+    rows = events.select("ts", key.alias("stream"), F.struct("path", "ts", "event").alias("e"))
+    flush = rows.groupBy("stream", F.session_window("ts", quiet)).agg(F.collect_list("e").alias("all"))
     return flush.select(F.col("session_window.end").alias("flush_at"), F.explode(last_by_path("all")).alias("x")).select("flush_at", "x.path", "x.event", "x.n_events")
 
 
