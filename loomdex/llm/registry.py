@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomdex.llm import language, packing, reading, survivorship, term_stats, tokenizer
 from loomdex.llm.labels import language_code
-from loomdex.session import table, written
+from loomdex.session import spread, table, written
 
 
 def _marked(spark: SparkSession, d: str) -> DataFrame:
@@ -31,7 +31,7 @@ def dictionaries(spark: SparkSession, d: str) -> language.Dictionaries:
 
 
 def p3_segments(spark: SparkSession, d: str) -> DataFrame:
-    return language.language_segments(table(spark, d, "extracted_content"), dictionaries(spark, d))
+    return language.language_segments(spread(table(spark, d, "extracted_content")), dictionaries(spark, d))
 
 
 def p3_languages(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +39,7 @@ def p3_languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return language.unnamed_languages(table(spark, d, "extracted_content"), table(spark, d, "files"), dictionaries(spark, d))
+    return language.unnamed_languages(spread(table(spark, d, "extracted_content")), table(spark, d, "files"), dictionaries(spark, d))
 
 
 def p5_survivors(spark: SparkSession, d: str) -> DataFrame:
@@ -51,16 +51,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokenizer.encode_corpus(table(spark, d, "documents"))
+    return tokenizer.encode_corpus(spread(table(spark, d, "documents")))
 
 
 def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    return tokenizer.decode_corpus(tokenizer.encode_corpus(table(spark, d, "documents")))
+    return tokenizer.decode_corpus(tokenizer.encode_corpus(spread(table(spark, d, "documents"))))
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return packing.pack(tokenizer.count_tokens(docs, ["doc_id"]), n_items=docs.count())
+    return packing.pack(tokenizer.count_tokens(spread(docs), ["doc_id"]), n_items=docs.count())
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -75,7 +75,7 @@ def _levels(spark: SparkSession, d: str, keep: list[str]) -> DataFrame:
     graded = language.bounded_samples(table(spark, d, "graded_samples"), F.col("level"), F.col("text"), reading.SAMPLES_PER_LEVEL)
     labelled = language.bounded_samples(table(spark, d, "lang_samples"), language_code(F.col("language")), F.col("text"), reading.SAMPLES_PER_LANGUAGE)
     model, _ = reading.train(graded, labelled)
-    return reading.reading_levels(table(spark, d, "documents"), model, keep)
+    return reading.reading_levels(spread(table(spark, d, "documents")), model, keep)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
