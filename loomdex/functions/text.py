@@ -33,8 +33,9 @@ def normalise_py(text: str | None) -> str | None:
 
 
 @functools.cache
-def _tables() -> tuple[str, str, str]:
-    """From the Unicode data of this Python: source and target of translate, and a character class of all that it can't do."""
+def _tables() -> tuple[str, str, str, str]:
+    """From the Unicode data of this Python: source and target of translate, common characters that it can do, and an expression for all
+    that it can't (slow, as its class is long, so it is asked of few characters only)."""
     kept, to, removed, other = [], [], [], []
     for cp in range(0x80, sys.maxunicode + 1):
         if 0xD800 <= cp < 0xE000:
@@ -54,11 +55,16 @@ def _tables() -> tuple[str, str, str]:
         else:
             other.append(cp)
     marks = [cp for cp in range(0x370, sys.maxunicode + 1) if not 0xD800 <= cp < 0xE000 and unicodedata.combining(chr(cp))]
-    return "".join(kept + removed), "".join(to), f"[{_ranges(other)}]|[{_ranges(marks)}]{{2}}"
+    # characters of the commonest blocks that translate can do: what is left of most texts without them is nothing
+    hard = set(other)
+    common = [*range(0x250), *range(0x300, 0x370), *range(0x900, 0x980), *range(0x2010, 0x2060), 0x20AC, *range(0x2190, 0x2200), *range(0x2500, 0x27C0)]
+    easy = "".join(chr(p) for p in common if p not in hard)
+    return "".join(kept + removed), "".join(to), easy, f"[{_ranges(other)}]|[{_ranges(marks)}]{{2}}"
 
 
 def _ranges(points: list[int]) -> str:
     """A few ranges that hold all the points; what lies between near ones may be in, since the UDF is right for every text."""
+    points = points or [0xFFFFF]
     out = [[points[0], points[0]]]
     for p in points[1:]:
         if p - out[-1][1] <= (1 if p < 0x1000 else 200):
@@ -83,10 +89,15 @@ def trim_space(c: Column) -> Column:
 
 def normalise(c: Column) -> Column:
     """NFKD, marks removed, lower case, trimmed. Null stays null, blank becomes empty."""
-    src, dst, hard = _tables()
+    src, dst, easy, hard = _tables()
     wide = c.rlike("[^\\x00-\\x7f]")
-    needs = wide & c.rlike(hard)
-    return F.when(needs, _normalise_udf()(F.when(needs, c))).when(wide, trim_space(F.lower(F.translate(c, src, dst)))).otherwise(trim_space(F.lower(c)))
+    needs = wide & (c.rlike(_DEVANAGARI_MARKS) | F.translate(c, easy, "").rlike(hard))
+    plain = F.when(wide, F.lower(F.translate(c, src, dst))).otherwise(F.lower(c))
+    return F.coalesce(_normalise_udf()(F.when(needs, c)), trim_space(plain))
+
+
+#: Marks that may have to be put in order; of other scripts' marks, two that are only parted by common characters count as neighbours.
+_DEVANAGARI_MARKS = "[\\x{93c}\\x{94d}\\x{951}-\\x{954}]{2}"
 
 
 def tokens(normal: Column) -> Column:

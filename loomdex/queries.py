@@ -79,7 +79,7 @@ def search_index(spark: SparkSession, d: str) -> S.SearchIndex:
 
 
 def _sql_text() -> str:
-    src, dst, _ = _tables()
+    src, dst, _, _ = _tables()
     q = lambda s: s.replace("'", "''")
     # the characters of the data whose decomposition is longer than one
     return f"lower(translate(replace(replace(replace(text, '\u0931', '\u0930\u093c'), '…', '...'), 'ﬁ', 'fi'), '{q(src)}', '{q(dst)}'))"
