@@ -24,7 +24,7 @@ class ReferenceLedger:
     one row per key.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 16):
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         path = path or new_path(spark, "ledger")
         self.references = SignedCountStore(spark, f"{path}/references", {"term_id": "bigint", "file_id": "bigint", "written_at": "bigint"}, ["n"], buckets=buckets)
         self.existence = SignedCountStore(spark, f"{path}/existence", {"target": "string", "id": "bigint", "since": "bigint"}, ["n"], buckets=buckets)
@@ -78,7 +78,7 @@ def deletion_changes(files: DataFrame, deleted_files: DataFrame) -> DataFrame:
     return gone.select(F.lit("files").alias("target"), F.col("file_id").alias("id"), F.col("indexed_at").alias("since"), F.lit(-1).alias("n"))
 
 
-def ledger_of(postings: DataFrame, terms: DataFrame, files: DataFrame, deleted_files: DataFrame, buckets: int = 16) -> ReferenceLedger:
+def ledger_of(postings: DataFrame, terms: DataFrame, files: DataFrame, deleted_files: DataFrame, buckets: int | None = None) -> ReferenceLedger:
     ledger = ReferenceLedger(postings.sparkSession, buckets=buckets)
     ledger.apply(reference_changes(postings), existence_changes(terms, files))
     ledger.apply(existence=deletion_changes(files, deleted_files))

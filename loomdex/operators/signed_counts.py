@@ -57,12 +57,14 @@ class SignedCountStore:
 
     keys: names and types of the key columns; nulls are keys like any other.
     sums: names of long columns that changes are added to. maxes: long columns of which the largest value is kept.
+    buckets: fixed when the store is first written; by default the session's number of shuffle partitions, so that it grows with the cluster.
     A key whose sums are all zero is gone. Repeated keys within a change add up. An empty change makes no generation.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: dict[str, str], sums: list[str], maxes: list[str] = (), buckets: int = 16):
-        self.spark, self.path, self.keys, self.sums, self.maxes, self.buckets = spark, path.rstrip("/"), dict(keys), list(sums), list(maxes), buckets
+    def __init__(self, spark: SparkSession, path: str, keys: dict[str, str], sums: list[str], maxes: list[str] = (), buckets: int | None = None):
+        self.spark, self.path, self.keys, self.sums, self.maxes = spark, path.rstrip("/"), dict(keys), list(sums), list(maxes)
         self.files = HadoopFiles(spark, self.path)
+        self.buckets = self.manifest().get("bucket_count") or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     @property
     def schema(self) -> T.StructType:
@@ -126,7 +128,7 @@ class SignedCountStore:
         wrote = [n.split("=")[1] for n in self.files.names(target) if n.startswith("bucket=")]
         if not wrote:
             return self._load([])
-        self.files.write(f"{self.path}/_manifest/{gen:06d}.json", json.dumps({"generation": gen, "buckets": m["buckets"] | {b: gen for b in wrote}}))
+        self.files.write(f"{self.path}/_manifest/{gen:06d}.json", json.dumps({"generation": gen, "bucket_count": self.buckets, "buckets": m["buckets"] | {b: gen for b in wrote}}))
         diff = None
         for s in self.sums:
             c = F.col(s) != F.col(f"before_{s}")
