@@ -29,7 +29,7 @@ class TermCounts:
     what thereby came to be or ceased to be goes on to terms. Unchanged records are neither aggregated nor rewritten.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 16):
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         path = path or new_path(spark, "terms")
         self.spark = spark
         self.records = SignedCountStore(spark, f"{path}/records", {"term_id": "bigint", "file_id": "bigint"}, ["live", "occurrences"], ["written_at"], buckets)
@@ -82,7 +82,7 @@ def marked(counts: TermCounts, names: DataFrame, rare_below: int = RARE_BELOW, c
     return c.select("term", F.coalesce("occurrences", F.lit(0)).alias("occurrences"), files.alias("files"), F.when(files < rare_below, "rare").when(files > F.lit(limit), "common").alias("mark"))
 
 
-def counts_of(postings: DataFrame, names: DataFrame, late_ms: int = 30 * 86400000, buckets: int = 16) -> TermCounts:
+def counts_of(postings: DataFrame, names: DataFrame, late_ms: int = 30 * 86400000, buckets: int | None = None) -> TermCounts:
     """Counts of a whole table: all but its last days as the first change, the rows of its last `late_ms` as the next."""
     counts = TermCounts(postings.sparkSession, buckets=buckets)
     newest = postings.agg(F.max("written_at")).first()[0]
