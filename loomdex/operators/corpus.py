@@ -101,18 +101,20 @@ def wasted_total(files: DataFrame) -> DataFrame:
 
 
 def orphan_terms(terms: DataFrame, postings: DataFrame) -> DataFrame:
-    return terms.join(postings.select("term_id"), "term_id", "left_anti")
+    """Terms without postings. The ids of the postings are made distinct on the mappers first, so no hot id travels."""
+    return terms.join(postings.select("term_id").distinct(), "term_id", "left_anti")
 
 
 def orphan_postings(postings: DataFrame, files: DataFrame, terms: DataFrame) -> DataFrame:
     """(term_id, file_id) of postings whose file or term is absent; null ids refer to nothing."""
     p = postings.select("term_id", "file_id")
-    a = p.join(files.select("file_id"), "file_id", "left_anti").select("term_id", "file_id")
-    return a.unionByName(p.join(terms.select("term_id"), "term_id", "left_anti").select("term_id", "file_id")).distinct()
+    p = p.distinct()
+    a = p.join(files.select("file_id").distinct(), "file_id", "left_anti").select("term_id", "file_id")
+    return a.unionByName(p.join(terms.select("term_id").distinct(), "term_id", "left_anti").select("term_id", "file_id")).distinct()
 
 
 def partial_files(files: DataFrame, postings: DataFrame) -> DataFrame:
-    return files.join(postings.select("file_id"), "file_id", "left_anti")
+    return files.join(postings.select("file_id").distinct(), "file_id", "left_anti")
 
 
 def integrity_report(files: DataFrame, terms: DataFrame, postings: DataFrame, metadata: DataFrame | None = None) -> DataFrame:

@@ -128,3 +128,14 @@ def test_highlight():
     assert highlight_py("the quick fox", ["quick", "fox"], ["fox", "quick"]) == [("the ", "text"), ("quick", "phrase"), (" ", "text"), ("fox", "phrase")]
     assert highlight_py("Foxes fox", [], ["fox"]) == [("Foxes ", "text"), ("fox", "term")]
     assert highlight_py("x", [], []) == [("x", "text")]
+
+
+def test_logs(tmp_path):
+    from loomdex.log import Logs
+
+    logs = Logs(str(tmp_path), ("index",))
+    logs.info("index", "sync", "3 files")
+    logs.error("error", "sync", "not written")
+    logs.debug("index", "sync", "not written")
+    logs.close()
+    assert (tmp_path / "index.log").read_text().endswith("[INFO] [sync] 3 files\n") and not (tmp_path / "error.log").exists()
