@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdex.llm.labels import language_code
@@ -258,8 +258,10 @@ class Classifier:
 def bounded_samples(samples: DataFrame, language: Column, text: Column, per_language: int = SAMPLES_PER_LANGUAGE) -> list[tuple[str, str]]:
     """At most so many labelled passages a language, on the driver. Rows with a null text or an unknown label are left out."""
     rows = samples.select(language.alias("l"), text.alias("t")).filter("l is not null and t is not null").distinct()
-    some = rows.groupBy("l").agg(F.slice(F.array_sort(F.collect_list("t")), 1, per_language).alias("ts")).collect()
-    return [(r.l, t) for r in sorted(some) for t in r.ts]
+    # each task keeps only its first `per_language` before anything is shuffled, however large the table
+    first = Window.partitionBy("l").orderBy(F.xxhash64("t"), "t")
+    some = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language).select("l", "t").collect()
+    return sorted((r.l, r.t) for r in some)
 
 
 _SEGMENT = "seq int, begin int, end int, language string, confidence double, letters int"
