@@ -112,7 +112,9 @@ class SignedCountStore:
             both = new.unionByName(old)
         else:
             both = new
-        merged = both.groupBy(*self.keys).agg(
+        # one shuffle: by bucket, which the grouping by bucket and key and the writing by bucket both go by. Callers that may have many rows of
+        # one key add them up before
+        merged = both.withColumn("bucket", self._bucket()).repartition(self.buckets, "bucket").groupBy("bucket", *self.keys).agg(
             *[F.sum(s).alias(s) for s in self.sums],
             *[F.max(x).alias(x) for x in self.maxes],
             *[F.sum(F.when(F.col("_old"), F.col(s)).otherwise(F.lit(0))).alias(f"before_{s}") for s in self.sums],
@@ -122,7 +124,7 @@ class SignedCountStore:
             keep = c if keep is None else keep | c
         gen = m["generation"] + 1
         target = f"{self.path}/gen={gen:06d}"
-        (merged.filter(keep).withColumn("bucket", self._bucket()).repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(target))
+        merged.filter(keep).write.mode("overwrite").partitionBy("bucket").parquet(target)
         if m["buckets"]:
             new.unpersist()
         wrote = [n.split("=")[1] for n in self.files.names(target) if n.startswith("bucket=")]
