@@ -60,7 +60,8 @@ class TermCounts:
         )
         moved = self.records.merge(change).select("term_id", "file_id", (F.col("live") - F.col("before_live")).alias("live"), (F.col("occurrences") - F.col("before_occurrences")).alias("occurrences"))
         self.files.merge(moved.groupBy("file_id").agg(F.sum("live").alias("live")))
-        moved = self.pairs.merge(moved.join(names.select("term_id", "term"), "term_id").groupBy("term", "file_id").agg(F.sum("live").alias("live"), F.sum("occurrences").alias("occurrences")))
+        # a file has few records of a term, one for each of its ids, so they are added up by the merge itself
+        moved = self.pairs.merge(moved.join(names.select("term_id", "term"), "term_id").select("term", "file_id", "live", "occurrences"))
         came = (F.col("live") > 0).cast("long") - (F.col("before_live") > 0).cast("long")
         self.terms.merge(moved.groupBy("term").agg(F.sum(came).alias("files"), F.sum(F.col("occurrences") - F.col("before_occurrences")).alias("occurrences")))
 
