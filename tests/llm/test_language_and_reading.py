@@ -88,6 +88,11 @@ def test_trees_learn_and_calibrate():
     assert flat.predict(np.zeros((3, 2))) == pytest.approx([1, 1, 1]) and len(flat.predict(np.zeros((0, 2)))) == 0
 
 
+def test_held_out_levels(samples, graded):
+    r = reading.cross_validate(graded, samples, folds=3)
+    assert r["passages"] == len(graded) and r["passage_mae"] < 0.5 and r["hard_right"] > 0.9
+
+
 def test_levels(spark, samples, graded):
     model, report = reading.train(graded, samples)
     assert report["sentence_hard_right"] > 0.95 and report["passage_mae"] < 0.4
