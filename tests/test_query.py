@@ -32,7 +32,7 @@ NOW = 1735689600000
         ("type:pdf database", And(Filter("type", ":", "pdf"), Term("database"))),
         ("a OR b AND c", Or(Term("a"), And(Term("b"), Term("c")))),
         ("café", Term("cafe")),
-        ("author:Tanmay", Filter("author", ":", "Tanmay")),
+        ("author:Ada", Filter("author", ":", "Ada")),
         ("created>=2024-01-01", Filter("created", ">=", "2024-01-01")),
         ("http://x", Filter("http", ":", "//x")),
         ("run-time", Term("run-time")),
