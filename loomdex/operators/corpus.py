@@ -157,9 +157,9 @@ def average_durations(runs: DataFrame, part: str | None = None) -> DataFrame:
 
 
 def health(n_files: Column, n_failed: Column, n_pending: Column, status: Column, last_synced: Column, now_ms: int) -> Column:
-    """'error', 'warning' or 'healthy'."""
-    total = n_files + n_failed
-    error = (status == "error") | ((total > 0) & (n_failed / total > FAILED_SHARE))
+    """'error', 'warning' or 'healthy'. The share of failures is taken of the indexed files, and only if there are some. Nulls count as none."""
+    n_files, n_failed, n_pending = [F.coalesce(c, F.lit(0)) for c in (n_files, n_failed, n_pending)]
+    error = (status == "error") | ((n_files > 0) & (n_failed > 0) & (n_failed / F.when(n_files > 0, n_files) > FAILED_SHARE))
     warn = (n_failed > 0) | (n_pending > 0) | (F.lit(now_ms) - last_synced > STALE_MS)
     return F.when(F.coalesce(error, F.lit(False)), "error").when(F.coalesce(warn, F.lit(False)), "warning").otherwise("healthy")
 

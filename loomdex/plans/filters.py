@@ -37,7 +37,7 @@ def predicate(f: Filter, now_ms: int, zone: tzinfo = timezone.utc) -> Column:
     """True or false for every file, never null. Unknown keys and values that can't be read let every file pass; a null author or language none."""
     value = f.value.lower()
     if f.key in ("type", "ext", "extension"):
-        out = F.lower(F.coalesce(F.col("extension"), extension(F.col("path")))) == f".{value}"
+        out = F.lower(F.coalesce(F.col("extension"), extension(F.col("path")))) == (value if value.startswith(".") else f".{value}")
     elif f.key == "folder":
         out = F.lower("path").contains(value)
     elif f.key in ("before", "after"):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,18 +35,61 @@ def get_session(app: str = "loomdex", cores: str = "*", **conf: str) -> SparkSes
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that all executors share, from spark.checkpoint.dir. Only a local session may do without: it gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="loomdex-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/loomdex/{name}-{uuid.uuid4().hex}"
+    """A path for an intermediate table. It goes with its scratch() block, and else with the application, whose folder is deleted at its end."""
+    home = f"{shared_dir(spark)}/loomdex/{spark.sparkContext.applicationId}"
+    fs, p = _file_system(spark, home)
+    if not fs.exists(p):
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    path = f"{home}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Intermediate tables made inside the block are deleted when it ends, so frames that rest on them must be used up inside."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            fs, p = _file_system(spark, path)
+            fs.delete(p, True)
+
+
+def sweep(spark: SparkSession, older_than_ms: int) -> int:
+    """Delete what applications that ended without cleaning up left longer ago than this; returns how many folders."""
+    fs, p = _file_system(spark, f"{shared_dir(spark)}/loomdex")
+    if not fs.exists(p):
+        return 0
+    own, now, n = spark.sparkContext.applicationId, int(time.time() * 1000), 0
+    for s in fs.listStatus(p):
+        if s.getPath().getName() != own and now - s.getModificationTime() > older_than_ms:
+            n += bool(fs.delete(s.getPath(), True))
+    return n
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
