@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.operators.signed_counts import SignedCountStore
+from loomdex.operators.signed_counts import Counts, CountStores
 from loomdex.session import new_path
 
 FAR_PAST = -(2**62)
@@ -20,27 +20,33 @@ class ReferenceLedger:
     `since` counts as always; a null id is no key.
     A reference is an orphan if no version of its key exists, or all begin after it was written. Of a null written_at only the
     first is asked. Repeated rows count once for existence (any positive count exists) and each for references.
-    Hot keys: state is bucketed by whole keys; the joins of the report are left to adaptive skew handling, and the key side has
-    one row per key.
+    Hot keys: changes are added up by whole keys, on the mappers first; the joins of the report are left to adaptive skew handling, and
+    the key side has one row per key.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
-        path = path or new_path(spark, "ledger")
-        self.references = SignedCountStore(spark, f"{path}/references", {"term_id": "bigint", "file_id": "bigint", "written_at": "bigint"}, ["n"], buckets=buckets)
-        self.existence = SignedCountStore(spark, f"{path}/existence", {"target": "string", "id": "bigint", "since": "bigint"}, ["n"], buckets=buckets)
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.stores = CountStores(
+            spark, path or new_path(spark, "ledger"),
+            {
+                "references": Counts({"term_id": "bigint", "file_id": "bigint", "written_at": "bigint"}, ["n"]),
+                "existence": Counts({"target": "string", "id": "bigint", "since": "bigint"}, ["n"]),
+            },
+        )
 
     def apply(self, references: DataFrame | None = None, existence: DataFrame | None = None) -> None:
-        if references is not None:
-            self.references.merge(references.filter("term_id is not null and file_id is not null").groupBy("term_id", "file_id", "written_at").agg(F.sum("n").alias("n")))
-        if existence is not None:
-            self.existence.merge(existence.filter("id is not null").select("target", "id", F.coalesce("since", F.lit(FAR_PAST)).alias("since"), "n"))
+        """Both changes become valid together. Runs when called. Rows of one key are added up on the mappers."""
+        with self.stores.change() as c:
+            if references is not None:
+                c.add("references", references.filter("term_id is not null and file_id is not null"))
+            if existence is not None:
+                c.add("existence", existence.filter("id is not null").select("target", "id", F.coalesce("since", F.lit(FAR_PAST)).alias("since"), "n"))
 
     def _exists(self, target: str) -> DataFrame:
-        return self.existence.read().filter((F.col("target") == target) & (F.col("n") > 0)).groupBy("id").agg(F.min("since").alias("since"))
+        return self.stores.read("existence").filter((F.col("target") == target) & (F.col("n") > 0)).groupBy("id").agg(F.min("since").alias("since"))
 
     def orphans(self) -> DataFrame:
         """term_id, file_id, written_at, n, target: every broken reference now."""
-        refs = self.references.read().filter("n > 0")
+        refs = self.stores.read("references").filter("n > 0")
         for target, key in (("terms", "term_id"), ("files", "file_id")):
             side = self._exists(target).select(F.col("id").alias(key), F.col("since").alias(f"since_{target}"))
             refs = refs.join(side, key, "left")
@@ -78,8 +84,9 @@ def deletion_changes(files: DataFrame, deleted_files: DataFrame) -> DataFrame:
     return gone.select(F.lit("files").alias("target"), F.col("file_id").alias("id"), F.col("indexed_at").alias("since"), F.lit(-1).alias("n"))
 
 
-def ledger_of(postings: DataFrame, terms: DataFrame, files: DataFrame, deleted_files: DataFrame, buckets: int | None = None) -> ReferenceLedger:
-    ledger = ReferenceLedger(postings.sparkSession, buckets=buckets)
+def ledger_of(postings: DataFrame, terms: DataFrame, files: DataFrame, deleted_files: DataFrame) -> ReferenceLedger:
+    """The ledger of whole tables: all rows as the first change, deletions as the second. Written when called."""
+    ledger = ReferenceLedger(postings.sparkSession)
     ledger.apply(reference_changes(postings), existence_changes(terms, files))
     ledger.apply(existence=deletion_changes(files, deleted_files))
     return ledger

@@ -1,16 +1,20 @@
 """Persistent counts that are kept up to date by signed changes.
 
-A store is a folder of generations. A generation holds only the buckets that its change touched, and a manifest names for
-each bucket the generation that is valid. A merge therefore reads and writes no bucket that the change leaves alone, and a
-reader of an older manifest is never disturbed. Buckets are hashes of the whole key, so no key or group of keys can make one
-bucket large.
+The stores of a folder share one manifest, so a change to several of them is valid whole or not at all. A change is written as one
+segment a store: its signed sums by key, and nothing else. What a merge writes is therefore a small multiple of the change, never of the
+store; a reader adds up the segments. Segments of like size are compacted, so that their number grows with the logarithm of what was
+written. A reader of an older manifest is never disturbed.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,96 +56,137 @@ class HadoopFiles:
         self._fs.delete(self._path(p), True)
 
 
-class SignedCountStore:
-    """Counts by key in partitioned generations.
+@dataclass(frozen=True)
+class Counts:
+    """A store: keys (name: type; nulls are keys like any other), sums (long columns that changes are added to), maxes (long columns of
+    which the largest is kept), lead (the key that segments are sorted by, so that a lookup reads only the row groups it may need)."""
 
-    keys: names and types of the key columns; nulls are keys like any other.
-    sums: names of long columns that changes are added to. maxes: long columns of which the largest value is kept.
-    buckets: fixed when the store is first written; by default the session's number of shuffle partitions, so that it grows with the cluster.
-    A key whose sums are all zero is gone. Repeated keys within a change add up. An empty change makes no generation.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, keys: dict[str, str], sums: list[str], maxes: list[str] = (), buckets: int | None = None):
-        self.spark, self.path, self.keys, self.sums, self.maxes = spark, path.rstrip("/"), dict(keys), list(sums), list(maxes)
-        self.files = HadoopFiles(spark, self.path)
-        self.buckets = self.manifest().get("bucket_count") or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys: dict[str, str]
+    sums: list[str]
+    maxes: list[str] = field(default_factory=list)
+    lead: str | None = None
 
     @property
     def schema(self) -> T.StructType:
-        return T.StructType.fromDDL(", ".join([f"`{k}` {t}" for k, t in self.keys.items()] + [f"`{m}` bigint" for m in self.sums + self.maxes]))
+        return T.StructType.fromDDL(", ".join([f"`{k}` {t}" for k, t in self.keys.items()] + [f"`{m}` bigint" for m in [*self.sums, *self.maxes]]))
+
+    def added_up(self, df: DataFrame) -> DataFrame:
+        """One row a key; Spark adds up on the mappers first, so a key of any number of rows is shuffled once a task."""
+        value = [F.coalesce(F.col(s).cast("bigint"), F.lit(0)).alias(s) for s in self.sums]
+        d = df.select(*[F.col(k).cast(t).alias(k) for k, t in self.keys.items()], *value, *[F.col(x).cast("bigint").alias(x) for x in self.maxes])
+        return d.groupBy(*self.keys).agg(*[F.sum(s).alias(s) for s in self.sums], *[F.max(x).alias(x) for x in self.maxes])
+
+    def live(self, df: DataFrame) -> DataFrame:
+        """Without keys whose sums are all zero: they are gone."""
+        return df.filter(" or ".join(f"`{s}` != 0" for s in self.sums))
+
+
+#: A segment is merged with the one before it if that is at most so many times as long.
+COMPACT_RATIO = 2
+#: A lookup of at most so many distinct lead keys names them to the scan; of more it names the least and the greatest.
+LOOKUP_KEYS = 1000
 
-    @property
-    def _stored(self) -> T.StructType:
-        return T.StructType(self.schema.fields + [T.StructField(f"before_{s}", T.LongType()) for s in self.sums])
 
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*[F.col(k) for k in self.keys]), F.lit(self.buckets)).cast("int")
+class CountStores:
+    """Stores by name in one folder."""
+
+    def __init__(self, spark: SparkSession, path: str, stores: dict[str, Counts]):
+        self.spark, self.path, self.stores = spark, path.rstrip("/"), stores
+        self.files = HadoopFiles(spark, self.path)
+        self._pending: dict[str, list[list]] | None = None
 
     def manifest(self) -> dict:
+        """generation, and of each store its segments [folder, rows], oldest first."""
         names = [n for n in self.files.names(f"{self.path}/_manifest") if n.endswith(".json")]
-        return json.loads(self.files.read(f"{self.path}/_manifest/{names[-1]}")) if names else {"generation": 0, "buckets": {}}
-
-    def _load(self, paths: list[str]) -> DataFrame:
-        if not paths:
-            return self.spark.createDataFrame([], self._stored)
-        return self.spark.read.schema(self._stored).parquet(*paths)
-
-    def _paths(self, m: dict, buckets=None) -> list[str]:
-        return [f"{self.path}/gen={g:06d}/bucket={b}" for b, g in sorted(m["buckets"].items()) if buckets is None or int(b) in buckets]
-
-    def read(self) -> DataFrame:
-        """The counts of the newest generation."""
-        live = [F.col(s) != 0 for s in self.sums]
-        cond = live[0]
-        for c in live[1:]:
-            cond = cond | c
-        return self._load(self._paths(self.manifest())).filter(cond).select(*self.keys, *self.sums, *self.maxes)
-
-    def merge(self, change: DataFrame) -> DataFrame:
-        """Add a signed change. Returns the keys whose sums it changed, with before_* and the new sums, read from what was written."""
+        return json.loads(self.files.read(f"{self.path}/_manifest/{names[-1]}")) if names else {"generation": 0, "segments": {}}
+
+    def _commit(self, segments: dict[str, list[list]], generation: int) -> None:
+        target = f"{self.path}/_manifest/{generation:08d}.json"
+        if self.files.exists(target):
+            raise FileExistsError(f"generation {generation} was written by another writer")
+        self.files.write(target, json.dumps({"generation": generation, "segments": segments}))
+
+    def segments(self, name: str) -> list[list]:
+        return self.manifest()["segments"].get(name, []) + (self._pending or {}).get(name, [])
+
+    def _load(self, name: str, segments: list[list]) -> DataFrame:
+        schema = self.stores[name].schema
+        if not segments:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{s[0]}" for s in segments])
+
+    def read(self, name: str, touched: DataFrame | None = None) -> DataFrame:
+        """Keys with their sums and maxes, those of an open change too. touched: only keys whose lead is in this one-column frame."""
+        spec, segments = self.stores[name], self.segments(name)
+        d = self._load(name, segments)
+        if touched is not None:
+            column = touched.columns[0]
+            few = [r[0] for r in touched.distinct().limit(LOOKUP_KEYS + 1).collect()]
+            if len(few) <= LOOKUP_KEYS:
+                d = d.filter(F.col(spec.lead).isin([k for k in few if k is not None]))
+            else:
+                low, high = touched.agg(F.min(column), F.max(column)).first()
+                d = d.filter(F.col(spec.lead).between(low, high)).join(touched.distinct().withColumnRenamed(column, spec.lead), spec.lead, "left_semi").select(*d.columns)
+        return spec.live(d if len(segments) < 2 else spec.added_up(d))  # the keys of one segment are distinct
+
+    @contextlib.contextmanager
+    def change(self) -> Iterator[CountStores]:
+        """What is added inside becomes valid when the block ends, and is deleted if it fails. One writer at a time: a second one fails."""
         m = self.manifest()
-        value = [F.coalesce(F.col(s).cast("bigint"), F.lit(0)).alias(s) for s in self.sums]
-        most = [F.col(x).cast("bigint").alias(x) for x in self.maxes]
-        key = [F.col(k).cast(t).alias(k) for k, t in self.keys.items()]
-        new = change.select(*key, *value, *most, F.lit(False).alias("_old"))
-        if m["buckets"]:
-            # only the touched buckets; their number is bounded by the setting
-            new = new.persist()
-            touched = {r[0] for r in new.select(self._bucket().alias("b")).distinct().collect()}
-            old = self._load(self._paths(m, touched)).select(*self.keys, *self.sums, *self.maxes, F.lit(True).alias("_old"))
-            both = new.unionByName(old)
-        else:
-            both = new
-        # one shuffle: by bucket, which the grouping by bucket and key and the writing by bucket both go by. Callers that may have many rows of
-        # one key add them up before
-        merged = both.withColumn("bucket", self._bucket()).repartition(self.buckets, "bucket").groupBy("bucket", *self.keys).agg(
-            *[F.sum(s).alias(s) for s in self.sums],
-            *[F.max(x).alias(x) for x in self.maxes],
-            *[F.sum(F.when(F.col("_old"), F.col(s)).otherwise(F.lit(0))).alias(f"before_{s}") for s in self.sums],
-        )
-        keep = None
-        for c in [F.col(s) != 0 for s in self.sums] + [F.col(f"before_{s}") != 0 for s in self.sums]:
-            keep = c if keep is None else keep | c
-        gen = m["generation"] + 1
-        target = f"{self.path}/gen={gen:06d}"
-        merged.filter(keep).write.mode("overwrite").partitionBy("bucket").parquet(target)
-        if m["buckets"]:
-            new.unpersist()
-        wrote = [n.split("=")[1] for n in self.files.names(target) if n.startswith("bucket=")]
-        if not wrote:
-            return self._load([])
-        self.files.write(f"{self.path}/_manifest/{gen:06d}.json", json.dumps({"generation": gen, "bucket_count": self.buckets, "buckets": m["buckets"] | {b: gen for b in wrote}}))
-        diff = None
-        for s in self.sums:
-            c = F.col(s) != F.col(f"before_{s}")
-            diff = c if diff is None else diff | c
-        return self._load([f"{target}/bucket={b}" for b in wrote]).filter(diff)
+        self._pending = {}
+        try:
+            yield self
+            new = {k: v for k, v in self._pending.items() if v}
+            if new:
+                self._commit({k: m["segments"].get(k, []) + new.get(k, []) for k in {*m["segments"], *new}}, m["generation"] + 1)
+        except BaseException:
+            for parts in self._pending.values():
+                for s in parts:
+                    self.files.delete(f"{self.path}/{s[0]}")
+            raise
+        finally:
+            self._pending = None
+        self.compact()
+
+    def add(self, name: str, change: DataFrame, distinct: bool = False) -> DataFrame:
+        """Write a signed change as a segment and return it as written. Repeated keys add up; distinct says that there are none.
+
+        An empty change makes no segment. This runs when called, not when the result is used.
+        """
+        spec = self.stores[name]
+        d = change.select(*spec.schema.names) if distinct else spec.added_up(change)
+        segment = self._write(name, d)
+        if not segment[1]:
+            self.files.delete(f"{self.path}/{segment[0]}")
+            return self._load(name, [])
+        self._pending.setdefault(name, []).append(segment)
+        return self._load(name, [segment])
+
+    def _write(self, name: str, d: DataFrame) -> list:
+        folder, spec = f"{name}-{uuid.uuid4().hex}", self.stores[name]
+        (d.sortWithinPartitions(spec.lead) if spec.lead else d).write.parquet(f"{self.path}/{folder}")
+        return [folder, self._load(name, [[folder]]).count()]  # from the footers
+
+    def compact(self) -> None:
+        """Merge the last segments of each store while the one before them isn't much longer than they are together."""
+        m = self.manifest()
+        segments, done = dict(m["segments"]), False
+        for name, parts in segments.items():
+            first, total = len(parts) - 1, parts[-1][1]
+            while first > 0 and parts[first - 1][1] <= COMPACT_RATIO * total:
+                first -= 1
+                total += parts[first][1]
+            if first < len(parts) - 1:
+                spec = self.stores[name]
+                d = spec.added_up(self._load(name, parts[first:]))
+                segments[name], done = parts[:first] + [self._write(name, spec.live(d) if first == 0 else d)], True
+        if done:
+            self._commit(segments, m["generation"] + 1)
 
     def vacuum(self) -> int:
-        """Delete generations that the newest manifest doesn't name; only when nobody reads older ones. Returns how many."""
-        m = self.manifest()
-        used = {f"gen={g:06d}" for g in m["buckets"].values()}
-        gone = [n for n in self.files.names(self.path) if n.startswith("gen=") and n not in used]
+        """Delete segments that the newest manifest doesn't name; only when nobody reads older ones. Returns how many."""
+        used = {s[0] for parts in self.manifest()["segments"].values() for s in parts}
+        gone = [n for n in self.files.names(self.path) if n != "_manifest" and n not in used]
         for n in gone:
             self.files.delete(f"{self.path}/{n}")
         return len(gone)

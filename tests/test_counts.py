@@ -1,5 +1,6 @@
 """Signed counts, references and dense counts, against plain Python."""
 
+import os
 import random
 from collections import defaultdict
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomdex.operators.dense_counts import dense_key_counts, hot_keys
 from loomdex.operators.references import ReferenceLedger, deletion_changes, existence_changes, ledger_of, reference_changes
-from loomdex.operators.signed_counts import SignedCountStore
+from loomdex.operators.signed_counts import Counts, CountStores
 from loomdex.session import new_path
 
 P = "term_id long, file_id long, term_frequency int, written_at long"
@@ -18,40 +19,83 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=str)
 
 
-def test_store_merges_and_retracts(spark):
-    s = SignedCountStore(spark, new_path(spark, "t"), {"k": "string"}, ["n", "m"], ["at"], buckets=4)
-    assert rows(s.read()) == []
-    change = spark.createDataFrame([("a", 1, 2, 5), ("a", 1, 1, 3), ("b", 1, None, None), (None, 2, 0, 1)], "k string, n long, m long, at long")
-    t = s.merge(change)
-    assert rows(t.select("k", "before_n", "n")) == rows(spark.createDataFrame([("a", 0, 2), ("b", 0, 1), (None, 0, 2)], "k string, x long, n long"))
-    assert s.merge(change.limit(0)).count() == 0 and s.manifest()["generation"] == 1
-    t = s.merge(spark.createDataFrame([("a", -2, -3, 9), ("c", 1, 0, 0), ("b", 0, 0, 7)], "k string, n long, m long, at long"))
-    assert rows(t.select("k", "before_n", "n")) == [("a", 2, 0), ("c", 0, 1)]
-    assert rows(s.read()) == [("b", 1, 0, 7), ("c", 1, 0, 0), (None, 2, 0, 1)]
-    s.merge(spark.createDataFrame([("a", 1, 1, 1)], "k string, n long, m long, at long"))
-    before = rows(s.read())
+def store(spark, keys="bigint", sums=("n",), **kw):
+    return CountStores(spark, new_path(spark, "t"), {"s": Counts({"k": keys}, list(sums), **kw)})
+
+
+def add(s, rows, ddl="k long, n long"):
+    with s.change() as c:
+        return rows_of(c.add("s", s.spark.createDataFrame(rows, ddl)))
+
+
+rows_of = rows
+
+
+def test_store_adds_up_and_retracts(spark):
+    s = store(spark, "string", ["n", "m"], maxes=["at"])
+    ddl = "k string, n long, m long, at long"
+    assert rows(s.read("s")) == []
+    assert add(s, [("a", 1, 2, 5), ("a", 1, 1, 3), ("b", 1, None, None), (None, 2, 0, 1)], ddl) == [("a", 2, 3, 5), ("b", 1, 0, None), (None, 2, 0, 1)]
+    assert add(s, [], ddl) == [] and s.manifest()["generation"] == 1
+    add(s, [("a", -2, -3, 9), ("c", 1, 0, 0), ("b", 0, 0, 7)], ddl)
+    assert rows(s.read("s")) == [("b", 1, 0, 7), ("c", 1, 0, 0), (None, 2, 0, 1)]
+    add(s, [("a", 1, 1, 1)], ddl)
+    before = rows(s.read("s"))
+    assert ("a", 1, 1, 1) in [(k, n, m, min(at, 1)) for k, n, m, at in before if k]
+    s.vacuum()
+    assert rows(s.read("s")) == before
+
+
+def size_of(path):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(path.removeprefix("file://")) for f in fs if f.endswith(".parquet"))
+
+
+def test_a_change_writes_a_small_multiple_of_itself(spark):
+    s, n = store(spark, lead="k"), 200_000
+    with s.change() as c:
+        c.add("s", spark.range(n).select(F.col("id").alias("k"), (F.hash("id") % 1000).alias("n")))
+    base = size_of(s.path)
+    for i in range(1, 4):  # changes of 1 % of the keys, all over the key space
+        with s.change() as c:
+            c.add("s", spark.range(0, n, 100).select(F.col("id").alias("k"), F.lit(i).cast("long").alias("n")))
+    s.vacuum()
+    assert size_of(s.path) - base < 4 * 3 * base / 100 and s.segments("s")[0][1] >= n * 0.99
+    want = spark.range(n).select((F.hash("id") % 1000 + F.when(F.col("id") % 100 == 0, 6).otherwise(0)).alias("n"))
+    assert s.read("s").agg(F.sum("n")).first() == want.agg(F.sum("n")).first()
+
+
+def test_segments_stay_few_and_a_failed_change_leaves_nothing(spark):
+    s = store(spark)
+    for i in range(9):
+        add(s, [(i, 1), (0, -1 if i else 1)])
+    assert len(s.segments("s")) <= 4 and rows(s.read("s")) == sorted([(0, -6), *[(i, 1) for i in range(1, 9)]], key=str)
+    before = s.manifest()
+    with pytest.raises(RuntimeError), s.change() as c:
+        c.add("s", spark.createDataFrame([(1, 1)], "k long, n long"))
+        raise RuntimeError
+    assert s.manifest() == before
     s.vacuum()
-    assert rows(s.read()) == before
+    assert {p for p in s.files.names(s.path) if p != "_manifest"} == {x[0] for x in s.segments("s")}
 
 
-def test_store_touches_only_the_buckets_of_a_change(spark):
-    s = SignedCountStore(spark, new_path(spark, "t"), {"k": "bigint"}, ["n"], buckets=8)
-    s.merge(spark.range(1000).select(F.col("id").alias("k"), F.lit(1).alias("n")))
-    s.merge(spark.range(1).select(F.col("id").alias("k"), F.lit(4).alias("n")))
-    gens = list(s.manifest()["buckets"].values())
-    assert gens.count(2) == 1 and gens.count(1) == 7
-    assert s.read().agg(F.sum("n")).first()[0] == 1004
+def test_lookup_names_few_keys_to_the_scan(spark, monkeypatch):
+    s = store(spark, lead="k")
+    add(s, [(i, 1) for i in range(50)])
+    keys = spark.createDataFrame([(3,), (4,), (4,), (None,)], "x long")
+    got = s.read("s", keys)
+    assert rows(got) == [(3, 1), (4, 1)] and "In(k" in got._jdf.queryExecution().toString()
+    monkeypatch.setattr("loomdex.operators.signed_counts.LOOKUP_KEYS", 1)
+    assert rows(s.read("s", keys)) == [(3, 1), (4, 1)]
 
 
 def test_random_changes_equal_a_dictionary(spark):
-    rng, want = random.Random(3), defaultdict(int)
-    s = SignedCountStore(spark, new_path(spark, "t"), {"k": "bigint"}, ["n"], buckets=3)
+    rng, want, s = random.Random(3), defaultdict(int), store(spark)
     for _ in range(3):
         change = [(rng.randrange(12), rng.choice([-1, 1, 2])) for _ in range(40)]
         for k, n in change:
             want[k] += n
-        s.merge(spark.createDataFrame(change, "k long, n long"))
-    assert rows(s.read()) == sorted([(k, n) for k, n in want.items() if n], key=str)
+        add(s, change)
+    assert rows(s.read("s")) == sorted([(k, n) for k, n in want.items() if n], key=str)
 
 
 @pytest.fixture(scope="module")
@@ -85,12 +129,12 @@ def brute(postings, terms, files, deleted):
 def test_orphans_equal_brute_force(spark, tables):
     p, t, f, d = tables
     want = brute([tuple(r)[:4] for r in p.collect()], [(r.term_id, r.added_at) for r in t.collect()], [(r.file_id, r.indexed_at) for r in f.collect()], [tuple(r) for r in d.collect()])
-    assert rows(ledger_of(p, t, f, d, buckets=2).pairs()) == want
+    assert rows(ledger_of(p, t, f, d).pairs()) == want
 
 
 def test_orphans_appear_and_vanish_with_changes(spark, tables):
     p, t, f, _ = tables
-    ledger = ReferenceLedger(spark, buckets=2)
+    ledger = ReferenceLedger(spark)
     one = p.filter("term_id = 1 and file_id = 2")
     ledger.apply(reference_changes(one))
     assert rows(ledger.pairs()) == [(1, 2, "files"), (1, 2, "terms")]
@@ -104,10 +148,10 @@ def test_orphans_appear_and_vanish_with_changes(spark, tables):
 
 def test_report_and_empty_tables(spark, tables):
     p, t, f, d = tables
-    r = {(x.target, x.period): (x.n_references, x.n_keys) for x in ledger_of(p, t, f, d, buckets=2).report().collect()}
+    r = {(x.target, x.period): (x.n_references, x.n_keys) for x in ledger_of(p, t, f, d).report().collect()}
     assert r["terms", "1970-01"] == (3, 2) and r["files", None] == (1, 1)
     empty = [x.limit(0) for x in tables]
-    assert rows(ledger_of(*empty, buckets=2).pairs()) == []
+    assert rows(ledger_of(*empty).pairs()) == []
 
 
 @pytest.mark.parametrize("block, salts", [(2, 3), (1000, 1)])
