@@ -43,27 +43,43 @@ def test_counts_equal_brute_force(spark):
     data = make(random.Random(1), 300)
     p = spark.createDataFrame(data, P).withColumn("term", F.lit("clash"))
     names = term_stats.term_names(spark.createDataFrame(TERMS, "term_id long, term string"))
-    got = {r.term: (r.occurrences, r.files, r.mark) for r in term_stats.marked(term_stats.counts_of(p, names, buckets=2), names).collect()}
+    got = {r.term: (r.occurrences, r.files, r.mark) for r in term_stats.marked(term_stats.counts_of(p, names), names).collect()}
     assert got == brute(data, TERMS)
 
 
 def test_changes_and_deletions(spark):
     names = term_stats.term_names(spark.createDataFrame(TERMS, "term_id long, term string"))
-    c = term_stats.TermCounts(spark, buckets=2)
+    c = term_stats.TermCounts(spark)
     frame = lambda rows: spark.createDataFrame(rows, P)
     c.apply(frame([(1, 1, 2, None, 10), (8, 1, 1, None, 10), (2, 1, 1, None, 10)]), names)
     c.apply(frame([(1, 1, 9, None, 5), (1, 1, 4, None, 20), (3, 2, 1, None, 20)]), names)  # an older version changes nothing
-    at = lambda: {r.term: (r.files, r.occurrences) for r in c.terms.read().collect()}
+    at = lambda: {r.term: (r.files, r.occurrences) for r in c.terms().collect()}
     assert at() == {"common": (1, 5), "cafe": (2, 2)}
     c.apply(frame([(8, 1, 1, None, 30), (2, 1, 1, None, 30)]), names, deleted=True)
     assert at() == {"common": (1, 4), "cafe": (1, 1)} and c.n_files() == 2
     c.apply(frame([(1, 1, 4, None, 40)]), names, deleted=True)
     assert at() == {"cafe": (1, 1)} and c.n_files() == 1
+    before = c.stores.manifest()
+    c.apply(frame([(3, 2, 1, None, 20), (3, 2, 1, None, 1)]), names)  # nothing new
+    assert c.stores.manifest() == before
+
+
+def test_random_changes_equal_a_recount(spark):
+    rng, c, held = random.Random(8), term_stats.TermCounts(spark), {}
+    names = term_stats.term_names(spark.createDataFrame(TERMS, "term_id long, term string"))
+    for at in range(4):
+        batch = [(rng.choice([1, 2, 3, 7, 8]), rng.randrange(5), rng.randrange(1, 4), None, at) for _ in range(8)]
+        gone = at == 2
+        for t, f, tf, _, _ in sorted(batch, key=lambda r: r[2]):
+            held[t, f] = 0 if gone else tf
+        c.apply(spark.createDataFrame(batch, P), names, deleted=gone)
+        want = brute([(t, f, n, None, 1) for (t, f), n in held.items() if n], TERMS)
+        assert {r.term: (r.occurrences, r.files) for r in c.terms().collect()} == {k: v[:2] for k, v in want.items() if v[1]}
 
 
 def test_empty(spark):
     names = term_stats.term_names(spark.createDataFrame([], "term_id long, term string"))
-    assert term_stats.marked(term_stats.counts_of(spark.createDataFrame([], P), names, buckets=2), names).count() == 0
+    assert term_stats.marked(term_stats.counts_of(spark.createDataFrame([], P), names), names).count() == 0
 
 
 def test_labels(spark):
