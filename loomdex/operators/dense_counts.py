@@ -1,10 +1,11 @@
 """Per-key totals by dense accumulator arrays.
 
-The rows are first reduced to (key, member) pairs, which no hot key can unbalance, and cut into equal splits. Each split
-encodes its keys with numpy, counts them with bincount and scatter-adds, and sends one array chunk per block of the key space.
-A block is a run of at most `block_keys` consecutive distinct keys, so an accumulator has a fixed size whatever the number of
-rows. The chunks of a block are summed in two steps (by block and salt, then by block): no task ever receives the rows of a key,
-only at most one array chunk per split.
+Each split of the input, as it is scanned, encodes its keys with numpy and counts them with bincount and scatter-adds; no row is shuffled.
+What a split sends is its sorted distinct keys with an accumulator each. The keys of all splits make the dictionary, which is cut into
+blocks of at most `block_keys` consecutive distinct keys, so an accumulator array has a fixed size whatever the number of rows. The
+pieces of a block are summed in two steps (by block and salt, then by block): no task ever receives the rows of a key, only at most one
+array piece per split. Distinct members are counted the same way over the distinct (key, member) pairs, which no hot key can unbalance,
+and only if they are asked for.
 """
 
 from __future__ import annotations
@@ -21,45 +22,77 @@ from loomdex.session import written
 #: Measures of a key; each is one accumulator.
 MEASURES = ("n_rows", "n_members", "total")
 
-_CHUNK = "block long, kind int, keys array<long>, n_rows array<long>, n_members array<long>, total array<long>"
+_ARRAYS = "keys array<long>, n_rows array<long>, n_members array<long>, total array<long>"
+_CHUNK = f"block long, kind int, {_ARRAYS}"
 
+#: A split adds up what it holds when it holds so many keys, and sends it if so many are distinct; a piece has at most PIECE keys.
+HELD, DISTINCT, PIECE = 2_000_000, 1_000_000, 65_536
 
-def _split_counter(bounds: np.ndarray):
-    """One pass over a split: chunks of (block, sorted keys, accumulators). bounds: first key of each block."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        held_rows = 0
+def _reduce(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    dictionary, code = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    out = []
+    for i in range(1, len(MEASURES) + 1):
+        acc = np.zeros(len(dictionary), np.int64)
+        np.add.at(acc, code, np.concatenate([p[i] for p in parts]))
+        out.append(acc)
+    return (dictionary, *out)
 
-        def reduce(parts):
-            keys = np.concatenate([p[0] for p in parts])
-            dictionary, code = np.unique(keys, return_inverse=True)
-            out = []
-            for i in range(1, len(MEASURES) + 1):
-                acc = np.zeros(len(dictionary), np.int64)
-                np.add.at(acc, code, np.concatenate([p[i] for p in parts]))
-                out.append(acc)
-            return (dictionary, *out)
 
+def _pieces(acc: tuple[np.ndarray, ...], null: bool = False) -> pa.RecordBatch:
+    n = len(acc[0])
+    offsets = pa.array(np.append(np.arange(0, n, PIECE), n).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(a)) for a in acc]
+    return pa.RecordBatch.from_arrays([pa.array([null] * (len(offsets) - 1)), *lists], ["of_null", "keys", *MEASURES])
+
+
+def _split_counter(members: bool):
+    """One pass over a split of (key, weight), or, if members, of distinct (key): pieces of (sorted keys, accumulators); those of the null key apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        held_rows, of_null = 0, np.zeros(3, np.int64)
         for b in batches:
-            cols = [np.asarray(b.column(i).to_numpy(zero_copy_only=False), np.int64) for i in range(4)]
-            if not len(cols[0]):
+            if not b.num_rows:
+                continue
+            weight = np.zeros(b.num_rows, np.int64) if members else np.asarray(b.column(1).to_numpy(zero_copy_only=False), np.int64)
+            if b.column(0).null_count:
+                some = b.column(0).is_valid().to_numpy(zero_copy_only=False)
+                n = int((~some).sum())
+                of_null += [0 if members else n, n if members else 0, int(weight[~some].sum())]
+                keys, weight = np.asarray(b.column(0).drop_null().to_numpy(zero_copy_only=False), np.int64), weight[some]
+            else:
+                keys = np.asarray(b.column(0).to_numpy(zero_copy_only=False), np.int64)
+            if not len(keys):
                 continue
-            dictionary, code = np.unique(cols[0], return_inverse=True)
-            n_rows, total = np.zeros(len(dictionary), np.int64), np.zeros(len(dictionary), np.int64)
-            np.add.at(n_rows, code, cols[1])
-            np.add.at(total, code, cols[3])
-            held.append((dictionary, n_rows, np.bincount(code[cols[2] > 0], minlength=len(dictionary)), total))
+            dictionary, code = np.unique(keys, return_inverse=True)
+            n, total = np.bincount(code, minlength=len(dictionary)), np.zeros(len(dictionary), np.int64)
+            np.add.at(total, code, weight)
+            none = np.zeros(len(dictionary), np.int64)
+            held.append((dictionary, none, n, total) if members else (dictionary, n, none, total))
             held_rows += len(dictionary)
-            if held_rows > 2_000_000:
-                held = [reduce(held)]
-                # a split with more distinct keys than this sends what it has and starts again
-                if len(held[0][0]) > 1_000_000:
-                    yield from _chunks(held[0], bounds)
+            if held_rows > HELD:
+                held = [_reduce(held)]
+                if len(held[0][0]) > DISTINCT:
+                    yield _pieces(held[0])
                     held = []
                 held_rows = len(held[0][0]) if held else 0
         if held:
-            yield from _chunks(reduce(held), bounds)
+            yield _pieces(_reduce(held))
+        if of_null.any():
+            yield _pieces((np.zeros(1, np.int64), *of_null.reshape(3, 1)), True)
+
+    return run
+
+
+def _to_blocks(bounds: np.ndarray):
+    """Pieces cut at the bounds of the blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = [b.column(n) for n in ("keys", *MEASURES)]
+            for i in range(b.num_rows):
+                yield from _chunks(tuple(x[i].values.to_numpy(zero_copy_only=False) for x in lists), bounds)
 
     return run
 
@@ -108,30 +141,35 @@ def _sum_blocks(final: bool):
     return run
 
 
-def dense_key_counts(df: DataFrame, key: str, member: str, weight: str, block_keys: int = 65536, salts: int = 8) -> DataFrame:
+def dense_key_counts(df: DataFrame, key: str, member: str | None = None, weight: str | None = None, block_keys: int = 65536, salts: int = 8) -> DataFrame:
     """Rows, distinct members and total weight of each key, as (key, n_rows, n_members, total), all long.
 
     A null key is a key (one row, key null) if there are rows with it. A null member adds to the rows and the total, not to the
     members. A null weight counts as zero; of weights below zero too, since they are no frequencies. Every row counts, repeats
-    included. An empty input gives no rows. Other columns are not read.
+    included. Without a member column members are not counted, and 0; without a weight column the totals are 0. An empty input gives no
+    rows. Other columns are not read. The splits are counted when this is called: their pieces are a table in the shared folder.
     """
     spark = df.sparkSession
-    d = df.select(F.col(key).cast("long").alias("key"), F.col(member).cast("long").alias("member"), F.greatest(F.coalesce(F.col(weight).cast("long"), F.lit(0)), F.lit(0)).alias("w"))
-    # pairs: the shuffle is on (key, member), which spreads a hot key over all tasks
-    pairs = d.groupBy("key", "member").agg(F.count("*").alias("n_rows"), F.sum("w").alias("total")).withColumn("n_members", F.col("member").isNotNull().cast("long"))
+    w = F.greatest(F.coalesce(F.col(weight).cast("long"), F.lit(0)), F.lit(0)) if weight else F.lit(0).cast("long")
+    schema = f"of_null boolean, {_ARRAYS}"
+    pieces = df.select(F.col(key).cast("long").alias("key"), w.alias("w")).mapInArrow(_split_counter(False), schema)
+    if member:
+        pairs = df.filter(F.col(member).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(member).cast("long").alias("member")).distinct()
+        pieces = pieces.unionByName(pairs.select("key").mapInArrow(_split_counter(True), schema))
+    pieces = written(pieces, "pieces")
+    total = lambda m: F.coalesce(F.sum(F.element_at(m, 1)), F.lit(0)).alias(m)
+    nulls = pieces.filter("of_null").agg(F.count("*").alias("n"), *[total(m) for m in MEASURES]).filter("n > 0").select(F.lit(None).cast("long").alias("key"), *MEASURES)
+    pieces = pieces.filter("not of_null")
     # dictionary: distinct keys in order; the first key of each block of `block_keys` is all that leaves the executors
-    keys = d.filter("key is not null").select("key").distinct()
-    ordered = keys.repartitionByRange("key").sortWithinPartitions("key")
+    ordered = pieces.select(F.explode("keys").alias("key")).distinct().repartitionByRange("key").sortWithinPartitions("key")
     coded = ordered.select("key", F.spark_partition_id().alias("p")).withColumn("at", F.monotonically_increasing_id() % F.lit(1 << 33))
     coded = written(coded, "dictionary")
-    sizes = {r.p: r.n for r in coded.groupBy("p").agg((F.max("at") + 1).alias("n")).collect()}  # one number per partition
     heads = coded.filter((F.col("at") % F.lit(block_keys)) == 0).select("key").collect()  # one key per block and partition
     bounds = np.array(sorted(r[0] for r in heads), np.int64)
-    nulls = pairs.filter("key is null").groupBy("key").agg(*[F.sum(m).alias(m) for m in MEASURES])
-    if not sizes:
-        return nulls.select("key", *MEASURES)
-    spread = spark.sparkContext.broadcast(bounds)
-    counted = pairs.filter("key is not null").select("key", *MEASURES).mapInArrow(lambda it: _split_counter(spread.value)(it), _CHUNK)
+    if not len(bounds):
+        return nulls
+    spread = spark.sparkContext.broadcast(bounds)  # a key per 65,536 distinct ones
+    counted = pieces.select("keys", *MEASURES).mapInArrow(lambda it: _to_blocks(spread.value)(it), _CHUNK)
     dictionary = (
         coded.groupBy("p", F.floor(F.col("at") / F.lit(block_keys)).alias("b"))
         .agg(F.array_sort(F.collect_list("key")).alias("keys"))

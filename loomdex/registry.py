@@ -15,16 +15,12 @@ from loomdex.session import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _term_counts(spark: SparkSession, d: str) -> DataFrame:
-    return dense_key_counts(table(spark, d, "postings"), "term_id", "file_id", "term_frequency")
-
-
 def p2_term_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _term_counts(spark, d).select(F.col("key").alias("term_id"), "n_rows", F.col("n_members").alias("n_files"), F.col("total").alias("total_frequency"))
+    return dense_key_counts(table(spark, d, "postings"), "term_id", "file_id", "term_frequency").select(F.col("key").alias("term_id"), "n_rows", F.col("n_members").alias("n_files"), F.col("total").alias("total_frequency"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return hot_keys(_term_counts(spark, d), 0.01).select(F.col("key").alias("term_id"))
+    return hot_keys(dense_key_counts(table(spark, d, "postings"), "term_id"), 0.01).select(F.col("key").alias("term_id"))
 
 
 def _ledger(spark: SparkSession, d: str):

@@ -172,7 +172,7 @@ def test_dense_counts_equal_brute_force(spark, block, salts):
 def test_dense_counts_of_nothing_and_of_nulls(spark):
     df = spark.createDataFrame([(None, 1, 2), (None, None, None)], "k long, m long, w long")
     assert rows(dense_key_counts(df.limit(0), "k", "m", "w")) == []
-    assert rows(dense_key_counts(df, "k", "m", "w")) == [(None, 2, 1, 2)]
+    assert rows(dense_key_counts(df, "k", "m", "w")) == [(None, 2, 1, 2)] and rows(dense_key_counts(df, "k")) == [(None, 2, 0, 0)]
     assert rows(hot_keys(dense_key_counts(df, "k", "m", "w"))) == []
 
 
