@@ -55,15 +55,17 @@ def pack(sized: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, gro
 
     An item that exceeds the capacity is cut into pieces of the whole capacity, which fill containers of their own, and a rest that is
     packed like any item; no other item is cut. Items without tokens, or of null size, take no place. Repeated rows are items of their
-    own. n_items: number of rows, where it is known without computing the sizes. Groups are drawn by hash of id and seed, so that they have like numbers of items and no order of the input matters.
+    own. n_items: number of rows, where it is known without computing the sizes. Groups are drawn by hash of the id, the row and the seed, so
+    that they have like numbers of items even where ids are null or repeat; the row is its place in the splits of the input, which a task
+    that is run again finds unchanged.
     """
     kind = sized.schema[id_col].dataType.simpleString()
     items = sized.select(F.col(id_col).cast("string").alias("id"), F.col("n_tokens").cast("bigint").alias("n"))
     groups = max(1, -(-(items.count() if n_items is None else n_items) // group_items))
-    items = items.filter("n > 0").withColumn("grp", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(groups)))
+    items = items.withColumn("row", F.monotonically_increasing_id()).filter("n > 0").withColumn("grp", F.pmod(F.xxhash64("id", "row", F.lit(seed)), F.lit(groups)))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "n"], kind="stable")  # ids are text here, so that null ids stay null
+        pdf = pdf.sort_values(["id", "n", "row"], kind="stable")  # ids are text here, so that null ids stay null
         ids, n, g = pdf["id"].to_numpy(), pdf["n"].to_numpy(np.int64), int(pdf["grp"].iloc[0])
         full, rest = n // capacity, n % capacity
         # whole pieces: one container each
@@ -88,6 +90,18 @@ def pack(sized: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, gro
     return items.groupBy("grp").applyInPandas(one, f"container string, place int, offset int, `{id_col}` string, piece int, token_start bigint, n_tokens int").withColumn(id_col, F.col(id_col).cast(kind))
 
 
+def faults(packed: DataFrame, sized: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
+    """One row of counts, all zero for a right packing but n_ids: n_ids placed, overfull containers, gaps (pieces that don't begin where the one
+    before them ends, in their container or in their item), cut items that would have fitted whole, and ids with lost or added tokens."""
+    held = packed.groupBy("container").agg(F.sum("n_tokens").alias("n"), F.max(F.col("offset") + F.col("n_tokens")).alias("last"), F.max("place").alias("p"), F.count("*").alias("k"), F.min("offset").alias("o"))
+    a = held.agg(F.count_if(F.col("n") > capacity).alias("overfull"), F.count_if((F.col("last") != F.col("n")) | (F.col("o") != 0) | (F.col("p") + 1 != F.col("k"))).alias("gaps"))
+    whole = sized.select(F.col(id_col).alias("i"), F.coalesce("n_tokens", F.lit(0)).alias("n")).groupBy("i").agg(F.sum("n").alias("n"), F.sum(F.greatest(F.lit(1), F.ceil(F.col("n") / capacity)).cast("long") * (F.col("n") > 0).cast("long")).alias("k"))
+    got = packed.select(F.col(id_col).alias("i"), "n_tokens").groupBy("i").agg(F.sum("n_tokens").alias("m"), F.count("*").alias("pieces"))
+    both = whole.join(got, whole["i"].eqNullSafe(got["i"]), "full_outer").select(F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m"), F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("pieces", F.lit(0)).alias("pieces"))
+    b = both.agg(F.count_if(F.col("pieces") > 0).alias("n_ids"), F.count_if(F.col("n") != F.col("m")).alias("lost"), F.count_if(F.col("pieces") > F.col("k")).alias("cut"))
+    return b.join(F.broadcast(a)).select("n_ids", "overfull", "gaps", "cut", "lost")  # one row each
+
+
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row: n_containers, n_tokens, least (containers that any packing needs), fill (share of the room that is used)."""
     per = packed.groupBy("container").agg(F.sum("n_tokens").alias("n"))

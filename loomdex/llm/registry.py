@@ -71,6 +71,12 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(_packed(spark, d))
 
 
+def p7_faults(spark: SparkSession, d: str) -> DataFrame:
+    docs = spread(table(spark, d, "documents"))
+    sized = written(tokenizer.count_tokens(docs, ["doc_id"]), "sizes")
+    return packing.faults(packing.pack(sized), sized)
+
+
 def _levels(spark: SparkSession, d: str, keep: list[str]) -> DataFrame:
     graded = language.bounded_samples(table(spark, d, "graded_samples"), F.col("level"), F.col("text"), reading.SAMPLES_PER_LEVEL)
     labelled = language.bounded_samples(table(spark, d, "lang_samples"), language_code(F.col("language")), F.col("text"), reading.SAMPLES_PER_LANGUAGE)
@@ -121,21 +127,24 @@ g as (select content_hash from s group by 1 having count(distinct file_id) > 1),
 k as (select *, (language is not null)::int + (author is not null)::int + (created_at is not null)::int + (extension is not null)::int as n, coalesce(modified_time, -1) as t
   from s semi join g using (content_hash))
 """
-P5_FOUND_SQL = f"{_P5} select content_hash, file_id from (select *, row_number() over (partition by content_hash order by n desc, standing desc, t desc, file_id) as rn from k) where rn = 1"
-_BEST = "first({0} order by ({0} is not null)::int desc, standing desc, t desc, file_id) as {0}"
+P5_FOUND_SQL = f"{_P5} select content_hash, file_id from (select *, row_number() over (partition by content_hash order by n desc, standing desc, t desc, file_id desc) as rn from k) where rn = 1"
+_BEST = "first({0} order by ({0} is not null)::int desc, standing desc, t desc, n desc, file_id desc) as {0}"
 P5_SURVIVORS_SQL = f"""{_P5}
 select content_hash, {', '.join(_BEST.format(c) for c in ('language', 'author', 'created_at', 'extension'))},
-  first(file_id order by n desc, standing desc, t desc, file_id) as file_id, first(path order by n desc, standing desc, t desc, file_id) as path,
-  first(modified_time order by n desc, standing desc, t desc, file_id) as modified_time
+  first(file_id order by n desc, standing desc, t desc, file_id desc) as file_id, first(path order by standing desc, t desc, n desc, file_id desc) as path,
+  first(modified_time order by standing desc, t desc, n desc, file_id desc) as modified_time
 from k group by content_hash"""
 
+# every text with a character has a token; a right packing has no fault
+P7_FAULTS_SQL = "select count(*) as n_ids, 0 as overfull, 0 as gaps, 0 as cut, 0 as lost from documents where text <> ''"
+
 P6_ROUND_TRIP_SQL = "select doc_id, coalesce(text, '') as text from documents"
 
 
 def queries() -> dict:
-    own = [p1_found, p1_terms, p3_found, p3_segments, p3_languages, p5_found, p5_survivors, p6_ids, p6_round_trip, p7_containers, p7_fill, p8_found, p8_levels, p8_profile]
+    own = [p1_found, p1_terms, p3_found, p3_segments, p3_languages, p5_found, p5_survivors, p6_ids, p6_round_trip, p7_containers, p7_fill, p7_faults, p8_found, p8_levels, p8_profile]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND_SQL, "p1_terms": P1_TERMS_SQL, "p5_found": P5_FOUND_SQL, "p5_survivors": P5_SURVIVORS_SQL, "p6_round_trip": P6_ROUND_TRIP_SQL}
+    return {"p1_found": P1_FOUND_SQL, "p1_terms": P1_TERMS_SQL, "p5_found": P5_FOUND_SQL, "p5_survivors": P5_SURVIVORS_SQL, "p6_round_trip": P6_ROUND_TRIP_SQL, "p7_faults": P7_FAULTS_SQL}

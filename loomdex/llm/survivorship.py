@@ -23,25 +23,30 @@ class Field:
 
 
 def survivors(df: DataFrame, group: str, record: str, fields: list[Field], standing: Column, stamp: Column, carried: list[str] = ()) -> DataFrame:
-    """One surviving record for each group of two or more different records.
+    """One surviving record for each group of two or more different records, built and chosen field by field.
 
     group, record: columns of the group and of the record's id. standing: source priority, higher is better. stamp: time, null if none.
-    Of each field the value comes from the record that is best in this order: it fills the field, its standing, its stamp, the smaller id;
-    a field that nobody fills is null. `record` itself is the one with the most fields filled, then standing, stamp and the smaller id, and
-    the columns `carried` are its own. Rows with a null group or id belong to none. Repeated rows count once. One aggregation with partial
-    results on the mappers: a group of any size arrives as one row per task. Result: group, record, n_records, fields, carried.
+    Of each field the value comes from the record that is best in this order: it fills the field, its standing, its stamp, how many fields
+    it fills, the greater id; a field that nobody fills is null. `record` is the one that wins the most filled fields; of equal ones the
+    one of the greatest standing, then stamp, fields filled and id. If no field is filled at all, it is the best in that order.
+    carried: columns of the winner of `record`, fields like the others that any record fills. Rows with a null group or id belong to none.
+    Repeated rows count once. One aggregation, the maximum of a composite struct for each field, with partial results on the mappers: a
+    group of any size arrives as one row per task. Result: group, record, fields, carried.
     """
     d = df.select(F.col(group).alias("_g"), F.col(record).alias("_r"), standing.alias("_s"), F.coalesce(stamp, F.lit(-(2**62))).alias("_t"), *[F.col(f.name).alias(f"_f_{f.name}") for f in fields], *[F.col(c).alias(f"_c_{c}") for c in carried])
     d = d.filter("_g is not null and _r is not null")
     has = {f.name: f.is_filled(F.col(f"_f_{f.name}")) for f in fields}
-    n = sum((F.when(h, 1).otherwise(0) for h in has.values()), F.lit(0))
-    d = d.withColumn("_order", -F.col("_r"))
-    best = [F.max(F.struct(h.alias("h"), "_s", "_t", "_order", F.when(h, F.col(f"_f_{f}")).alias("v"))).alias(f"_b_{f}") for f, h in has.items()]
-    whole = F.max(F.struct(n.alias("n"), "_s", "_t", "_order", "_r", *[f"_c_{c}" for c in carried])).alias("_b")
-    g = d.groupBy("_g").agg(F.min("_r").alias("_lo"), F.max("_r").alias("_hi"), whole, *best)
-    return g.filter("_lo != _hi").select(
-        F.col("_g").alias(group), F.col("_b._r").alias(record), *[F.col(f"_b_{f.name}.v").alias(f.name) for f in fields], *[F.col(f"_b._c_{c}").alias(c) for c in carried]
-    )
+    d = d.withColumn("_n", sum((F.when(h, 1).otherwise(0) for h in has.values()), F.lit(0)))
+    best = [F.max(F.struct(h.alias("h"), "_s", "_t", "_n", "_r", F.when(h, F.col(f"_f_{f}")).alias("v"))).alias(f"_b_{f}") for f, h in has.items()]
+    any_ = F.max(F.struct(F.lit(True).alias("h"), "_s", "_t", "_n", "_r")).alias("_any")
+    own = [F.max(F.struct("_s", "_t", "_n", "_r", F.col(f"_c_{c}").alias("v"))).alias(f"_o_{c}") for c in carried]
+    g = d.groupBy("_g").agg(F.min("_r").alias("_lo"), F.max("_r").alias("_hi"), any_, *best, *own).filter("_lo != _hi")
+    winners = F.array(F.col("_any"), *[F.struct(*[F.col(f"_b_{f.name}.{x}") for x in ("h", "_s", "_t", "_n", "_r")]) for f in fields])
+    g = g.withColumn("_w", F.filter(winners, lambda w: w["h"]))
+    # fields won by a record: at most one winner a field, so the arrays are as short as the list of fields
+    won = lambda r: F.size(F.filter("_w", lambda w: w["_r"] == r))
+    g = g.withColumn("_b", F.array_max(F.transform("_w", lambda w: F.struct(won(w["_r"]).alias("won"), w["_s"], w["_t"], w["_n"], w["_r"]))))
+    return g.select(F.col("_g").alias(group), F.col("_b._r").alias(record), *[F.col(f"_b_{f.name}.v").alias(f.name) for f in fields], *[F.col(f"_o_{c}.v").alias(c) for c in carried])
 
 
 def hex_digest(c: Column, digits: int = 64) -> Column:
