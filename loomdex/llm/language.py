@@ -1,8 +1,9 @@
 """The language of documents and of the passages of documents in several languages, by compression.
 
 Each sentence is compressed with a zstandard raw-content dictionary of each language that its script allows; the language whose
-dictionary makes it smallest is its language, unless the margin to the next one is narrow. Dictionaries are made of labelled
-samples, as they stand and romanised. Text and samples take one form first: compatibility forms decomposed, accents removed,
+dictionary makes it smallest is its language, unless the margin to the next one is narrow. A sentence that is too short or too
+odd to be decided alone, whatever its length, is decided together with its neighbours. Dictionaries are made of everyday text and
+labelled samples, as they stand and romanised. Text and samples take one form first: compatibility forms decomposed, accents removed,
 lower case, words only; Latin letters and Devanagari characters become one byte each, so that a match of a few bytes is a
 match of a few letters. Neighbouring sentences of a language make a segment.
 """
@@ -12,32 +13,43 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomdex.llm.base_text import BASE_TEXT
 from loomdex.llm.labels import language_code
 
 #: At most so many labelled passages a language are read to make its dictionary.
 SAMPLES_PER_LANGUAGE = 400
 #: At most so many labelled documents, drawn by hash, extend the dictionaries; and the size that a dictionary doesn't pass, in bytes.
 SAMPLE_DOCUMENTS, DICTIONARY_BYTES = 1500, 60_000
-#: zstandard level: from here on matches of three bytes are found.
-LEVEL = 3
-#: A sentence has a language only if the next best size is larger by so many bytes, and by this share of what can be saved.
-LEAST_MARGIN, LEAST_CONFIDENCE = 3, 0.12
+#: zstandard level, its way of finding matches, and the least bytes of a match: shorter ones cost what they save.
+LEVEL, STRATEGY, MIN_MATCH = 9, zstandard.STRATEGY_LAZY2, 4
+#: Put before and after what is compressed, and at the end of every dictionary; no text holds these bytes. Without it zstandard finds no match in
+#: the last bytes of a short sentence and stores the whole as it is if little is saved, so that all sizes were alike.
+PAD = bytes(range(0x90, 0xB0))
+#: A sentence has a language only if the next best size is larger by so many bytes, and by this share of what can be saved. (The constants
+#: were chosen by everyday text whose subject was held out of the dictionaries, and by texts that are in none of the languages.)
+LEAST_MARGIN, LEAST_CONFIDENCE = 2, 0.06
+#: A sentence whose margin is of fewer bytes is weak: among others it takes their language if its own sizes allow, and a weak sentence alone doesn't
+#: make a text one in its language.
+WEAK = 6
 #: A sentence that no dictionary makes smaller than this share of its letters is in none of the languages.
-MOST_LEFT = 0.8
-#: Bytes of a frame with nothing in it.
-EMPTY = 6
+MOST_LEFT = 0.95
+#: An undecided sentence is compressed with so many neighbours on each side, one step after the other; a decision so made has this share of its confidence.
+REACHES, CONTEXT_SHARE = (1, 3), 0.5
+#: Decisions that a worker remembers.
+MEMO = 100_000
 
 _ENDS = re.compile(r"[.!?।॥…]+[\"'»”’)\]]*(?:\s+|$)|\s*[\r\n]+\s*|\s+[★☆•*|]+\s+")
 _NOISE = re.compile(r"\S*[\d_/\\@<>{}=#~|;$%^&+][^\s.,!?।]*")
 _LATIN, _DEVA = re.compile(r"[a-z]+"), re.compile("[ऀ-ॣॱ-ॿ]+")
 _MARKS = re.compile("[̀-ͯ]")
+SPACES = {"latn": b" ", "deva": "ྀ".encode("utf-16-le")[:1]}
 _LIGATURES = str.maketrans({"ß": "ss", "œ": "oe", "æ": "ae", "ø": "o", "ł": "l", "đ": "d", "ı": "i"})
 
 # Romanisation of Devanagari as people type it (fixed values: letters and their usual spellings).
@@ -99,39 +111,6 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
-#: Common words of each language in running text, own words: they hold what samples of a few kinds may lack.
-BASE_TEXT = {
-    "eng": "Of the many things that we have seen there were only a few which really could be used. He said that she would not come because they had already gone home. "
-    "Who is there and what do you want? If you are not sure then please ask someone else about it. I have been here since the morning but nobody has told me anything. "
-    "There is nothing left to do for us today, so let us meet again next week. Some of them were better than the others, although most people did not know why. "
-    "It was a long way from the house to the river. You can take this with you when you go. Where did they put my coat? She has never been to the city before. His brother works there every day.",
-    "deu": "Von den vielen Dingen waren nur wenige wirklich gut zu gebrauchen. Er sagte, dass sie nicht kommen kann, weil sie schon nach Hause gegangen ist. "
-    "Wer ist da und was wollen Sie? Wenn du dir nicht sicher bist, dann frage bitte jemand anderen. Ich bin seit heute Morgen hier, aber niemand hat mir etwas gesagt. "
-    "Es gibt für uns heute nichts mehr zu tun, also treffen wir uns nächste Woche wieder. Einige davon waren besser als die anderen, obwohl die meisten Leute nicht wussten warum. "
-    "Es war ein langer Weg vom Haus bis zum Fluss. Du kannst das mitnehmen, wenn du gehst. Wo haben sie meinen Mantel hingelegt? Sie ist noch nie in der Stadt gewesen. Sein Bruder arbeitet jeden Tag dort. Das wird sehr schwierig und ziemlich teuer werden.",
-    "fra": "Parmi toutes ces choses, il y en avait peu qui étaient vraiment bonnes. Il a dit qu'elle ne pouvait pas venir parce qu'elle était déjà rentrée chez elle. "
-    "Qui est là et que voulez-vous ? Si tu n'es pas sûr, demande à quelqu'un d'autre s'il te plaît. Je suis ici depuis ce matin mais personne ne m'a rien dit. "
-    "Il n'y a plus rien à faire pour nous aujourd'hui, alors on se retrouve la semaine prochaine. Même si certains étaient meilleurs que les autres, la plupart des gens ne savaient pas pourquoi. "
-    "C'était un long chemin de la maison jusqu'à la rivière. Tu peux prendre ceci avec toi quand tu pars. Où ont-ils mis mon manteau ? Elle n'a jamais été dans cette ville. Son frère y travaille tous les jours. Ce sera très difficile et plus cher maintenant.",
-    "spa": "De todas las cosas, pocas eran realmente buenas. Él nos dijo que ella no podía venir porque ya se había ido a casa. "
-    "¿Quién está ahí y qué quieren ustedes? Si no estás seguro, pregunta a otra persona por favor. Estoy aquí desde esta mañana, pero nadie me ha dicho nada. "
-    "Hoy no nos queda nada que hacer, así que nos vemos otra vez la semana que viene. Aunque algunos eran mejores que los otros, la mayoría de la gente no sabía por qué. "
-    "Era un camino largo desde la casa hasta el río. Puedes llevarte esto cuando te vayas. ¿Dónde han puesto mi abrigo? Ella nunca ha estado en esa ciudad. Su hermano trabaja allí todos los días. Ahora está más caro y será muy difícil.",
-    "hin": "इन सब चीज़ों में से केवल कुछ ही सच में अच्छी थीं। उसने कहा कि वह नहीं आ सकती क्योंकि वह पहले ही घर चली गई थी। वहाँ कौन है और आप क्या चाहते हैं? अगर तुम्हें यकीन नहीं है तो किसी और से पूछ लो। "
-    "मैं सुबह से यहाँ हूँ लेकिन किसी ने मुझे कुछ नहीं बताया। आज हमारे लिए करने को कुछ नहीं बचा, इसलिए हम अगले हफ़्ते फिर मिलेंगे। उनमें से कुछ दूसरों से बेहतर थे, पर ज़्यादातर लोग नहीं जानते थे कि क्यों। "
-    "घर से नदी तक का रास्ता लंबा था। जब तुम जाओ तो यह अपने साथ ले जाना। उन्होंने मेरा कोट कहाँ रखा? वह पहले कभी शहर नहीं गई थी। उसका भाई रोज़ वहाँ काम करता है। यह बहुत कठिन और महँगा होगा। सब ने मिलकर एक नया काम शुरू किया और फिर दो दिन बाद उसे छोड़ दिया।",
-    "hin-latn": "In sab cheezon mein se sirf kuchh hi sach mein achhi thi. Usne kaha ki woh nahi aa sakti kyunki woh pehle hi ghar chali gayi thi. Wahan kaun hai aur aap kya chahte hain? "
-    "Agar tumhe yakeen nahi hai to kisi aur se poochh lo. Main subah se yahan hoon lekin kisi ne mujhe kuchh nahi bataya. Aaj hamare liye karne ko kuchh nahi bacha, isliye hum agle hafte phir milenge. "
-    "Unme se kuchh doosron se behtar the, par zyadatar log nahi jaante the ki kyun. Ghar se nadi tak ka rasta lamba tha. Jab tum jao to yeh apne saath le jana. Unhone mera coat kahan rakha? Uska bhai roz wahan kaam karta hai. Yeh bahut mushkil aur mehnga hoga. Sab ne milkar ek naya kaam shuru kiya.",
-    "mar": "या सगळ्या गोष्टींपैकी फक्त काहीच खरोखर चांगल्या होत्या. त्याने सांगितले की ती येऊ शकत नाही कारण ती आधीच घरी गेली होती. तिथे कोण आहे आणि तुम्हाला काय हवे आहे? जर तुला खात्री नसेल तर दुसऱ्या कोणाला तरी विचार. "
-    "मी सकाळपासून इथे आहे पण मला कोणीही काही सांगितले नाही. आज आमच्यासाठी करायला काही उरले नाही, म्हणून आपण पुढच्या आठवड्यात पुन्हा भेटू. त्यांच्यापैकी काही इतरांपेक्षा चांगले होते, तरी बहुतेक लोकांना का ते माहीत नव्हते. "
-    "घरापासून नदीपर्यंतचा रस्ता लांब होता. तू जाशील तेव्हा हे तुझ्याबरोबर घेऊन जा. त्यांनी माझा कोट कुठे ठेवला? ती याआधी कधीच शहरात गेली नव्हती. त्याचा भाऊ रोज तिथे काम करतो. हे खूप अवघड आणि महाग असेल. सर्वांनी मिळून एक नवीन काम सुरू केले.",
-    "mar-latn": "Ya saglya goshtinpaiki fakt kahich kharokhar changlya hotya. Tyane sangitle ki ti yeu shakat nahi karan ti aadhich ghari geli hoti. Tithe kon aahe ani tumhala kay have aahe? "
-    "Jar tula khatri nasel tar dusrya konala tari vichar. Mi sakalpasun ithe aahe pan mala konihi kahi sangitle nahi. Aaj amchyasathi karayla kahi urle nahi, mhanun aapan pudhchya aathvadyat punha bhetu. "
-    "Tyanchyapaiki kahi itaranpeksha changle hote, tari bahutek lokanna ka te mahit navhte. Gharapasun nadiparyantcha rasta lamb hota. Tu jashil tevha he tujhyabarobar gheun ja. Tyanni majha coat kuthe thevla? Tyacha bhau roj tithe kaam karto. He khup avghad ani mahag asel. Sarvanni milun ek navin kaam suru kele. Mala vatate ki he thik aahe.",
-}
-
-
 class Dictionaries:
     """Content of the dictionaries by script and language; bounded by the samples it is made of."""
 
@@ -155,31 +134,31 @@ class Dictionaries:
         """With the sentences of labelled documents that are new to the dictionary of their label.
 
         Labels are often wrong and documents mixed: a document counts only if four fifths of its classified letters are in the language of
-        its label, and a sentence only if no other language claims it clearly. So dictionaries learn the words that samples don't show.
+        its label, and a sentence only if no other language makes it smaller. So dictionaries learn the words that samples don't show.
         """
         classifier = Classifier(self)
         fresh: dict[tuple[str, str], list[bytes]] = defaultdict(list)
         for label, text in documents:
             got = []
             for a, b in sentences(text):
-                script, data, words = coded(text[a:b])
-                if script and words >= 2:
-                    got.append((script, data, *classifier.decide(script, data, words)))
+                script, data, _ = coded(text[a:b])
+                if script:
+                    got.append((script, data, *classifier.decide(script, data)))
             letters = defaultdict(int)
-            for _, data, language, _ in got:
+            for _, data, language, _, _ in got:
                 letters[language] += len(data)
             known = sum(letters.values()) - letters[None]
             if known and letters[label] >= 0.8 * known and letters[label] >= 0.4 * sum(letters.values()):
-                for script, data, language, confidence in got:
-                    if (script, label) in self.content and (language in (label, None) or confidence < 0.3):
+                for script, data, language, _, _ in got:
+                    if (script, label) in self.content and (language == label or (language is None and classifier.allows(script, data, label))):
                         fresh[script, label].append(data)
         out = Dictionaries.__new__(Dictionaries)
         out.content = dict(self.content)
         for key, found in fresh.items():
             found = list(dict.fromkeys(found))
             while found and len(out.content[key]) < DICTIONARY_BYTES:
-                compress = Classifier.compressor(out.content[key])
-                new = [d for d in found if len(compress(d)) - EMPTY > 0.35 * len(d)]
+                size = Classifier.compressor(out.content[key])
+                new = [d for d in found if size(d) > 0.35 * len(d)]
                 part = _within(new, min(6000, DICTIONARY_BYTES - len(out.content[key])))
                 if not part:
                     break
@@ -198,61 +177,108 @@ def _within(parts, most: int) -> list[bytes]:
     return out
 
 
+#: Language, or None; confidence; and the bytes by which the next best size is larger.
+Decision = tuple[str | None, float, int]
+UNDECIDED: Decision = (None, 0.0, 0)
+
+
 class Classifier:
     def __init__(self, dictionaries: Dictionaries, level: int = LEVEL):
-        self.by_script: dict[str, list[tuple[str, zstandard.ZstdCompressor]]] = defaultdict(list)
+        self.by_script: dict[str, list[tuple[str, Callable[[bytes], int]]]] = defaultdict(list)
+        self.memo: dict[tuple[str, bytes], Decision] = {}
         for (script, language), content in sorted(dictionaries.content.items()):
             self.by_script[script].append((language, self.compressor(content, level)))
 
     @staticmethod
-    def compressor(content: bytes, level: int = LEVEL):
+    def compressor(content: bytes, level: int = LEVEL) -> Callable[[bytes], int]:
+        """Bytes that a text takes beyond those of no text."""
+        content += b"\n" + PAD + PAD
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        params = zstandard.ZstdCompressionParameters.from_level(level, dict_size=len(content), source_size=128, min_match=4, write_content_size=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+        params = zstandard.ZstdCompressionParameters.from_level(level, strategy=STRATEGY, dict_size=len(content), source_size=128, min_match=MIN_MATCH, write_content_size=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
         d.precompute_compress(compression_params=params)
-        return zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress
+        compress = zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress
+        nothing = len(compress(PAD + PAD))
+        return lambda data: len(compress(PAD + data + PAD)) - nothing
 
     def sizes(self, script: str, data: bytes) -> list[tuple[int, str]]:
-        return sorted([(len(compress(data)), language) for language, compress in self.by_script.get(script, ())])
+        return sorted([(size(data), language) for language, size in self.by_script.get(script, ())])
 
     def classify(self, text: str) -> tuple[str | None, float, int]:
         """Language or None, confidence from 0 to 1, letters."""
-        script, data, words = coded(text)
-        return *self.decide(script, data, words), len(data)
-
-    def decide(self, script: str, data: bytes, words: int) -> tuple[str | None, float]:
-        if words < 2 or len(data) < (12 if script == "latn" else 8):
-            return None, 0.0
+        script, data, _ = coded(text)
+        return *(self.decide(script, data) if data else UNDECIDED)[:2], len(data)
+
+    def decide(self, script: str, data: bytes) -> Decision:
+        known = self.memo.get((script, data))
+        if known is None:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            known = self.memo[script, data] = self._decide(script, data)
+        return known
+
+    def _decide(self, script: str, data: bytes) -> Decision:
         s = self.sizes(script, data)
         if not s:
-            return None, 0.0
+            return UNDECIDED
         best, language = s[0]
-        other = s[1][0] if len(s) > 1 else len(data) + EMPTY
-        confidence = (other - best) / max(1, other - EMPTY)
-        if other - best < LEAST_MARGIN or confidence < LEAST_CONFIDENCE or best - EMPTY > MOST_LEFT * len(data):
-            return None, confidence
-        return language, confidence
-
-    def segments(self, text: str) -> list[tuple[int, int, str, float, int]]:
-        """(begin, end, language, confidence, letters) of passages. Sentences without a language go with the passage before them,
-        or after them at the begin; a text without any language has one passage 'und'."""
-        out: list[list] = []
-        lead = None
-        for a, b in sentences(text):
-            language, confidence, n = self.classify(text[a:b])
-            if language is None:
-                if out:
-                    out[-1][1] = b
-                else:
-                    lead = a if lead is None else lead
+        other = s[1][0] if len(s) > 1 else len(data)
+        confidence = (other - best) / max(1, other)
+        if other - best < LEAST_MARGIN or confidence < LEAST_CONFIDENCE or best > MOST_LEFT * len(data):
+            return None, confidence, 0
+        return language, confidence, other - best
+
+    def allows(self, script: str, data: bytes, language: str, slack: int = LEAST_MARGIN) -> bool:
+        """Whether no language makes the text smaller than this one by so many bytes."""
+        own = {k: n for n, k in self.sizes(script, data)}
+        return language in own and own[language] - min(own.values()) < slack
+
+    def _in_context(self, parts: list[tuple[str, bytes]], i: int) -> Decision:
+        """Language of a sentence and its neighbours of the same script together, if the sentence alone doesn't speak against it."""
+        script, data = parts[i]
+        for reach in REACHES:
+            near = [d for k, d in parts[max(0, i - reach) : i + reach + 1] if k == script and d]
+            if len(near) < 2:
                 continue
-            if out and out[-1][2] == language:
+            language, confidence, _ = self.decide(script, SPACES[script].join(near))
+            if language is not None and self.allows(script, data, language, WEAK):
+                return language, confidence * CONTEXT_SHARE, 0
+        return UNDECIDED
+
+    def languages(self, parts: list[tuple[str, bytes]]) -> list[Decision]:
+        """Language, confidence and margin of each sentence of a text, in order. A margin of 0 says that the neighbours decided."""
+        out = [self.decide(k, d) if d else UNDECIDED for k, d in parts]
+        for i, (_, data) in enumerate(parts):
+            if data and out[i][2] < WEAK:
+                found = self._in_context(parts, i)
+                if found[0] is not None and found[0] != out[i][0]:
+                    out[i] = found
+        return out
+
+    def segments(self, text: str) -> list[tuple[int, int, str, float, int, int]]:
+        """(begin, end, language, confidence, letters, margin) of passages, which together are the text.
+
+        The confidence is the mean over the letters, the margin the greatest of a sentence that was decided alone. Sentences without a language
+        go with the passage before them, or after them at the begin, and their letters have no confidence there; a text without any language
+        has one passage 'und'.
+        """
+        spans = sentences(text)
+        parts = [coded(text[a:b])[:2] for a, b in spans]
+        out: list[list] = []
+        free = 0  # letters before the first passage
+        for (a, b), (_, data), (language, confidence, margin) in zip(spans, parts, self.languages(parts)):
+            n = len(data)
+            if out and language in (None, out[-1][2]):
                 seg = out[-1]
-                seg[1], seg[3], seg[4] = b, seg[3] + confidence * n, seg[4] + n
+                seg[1], seg[3], seg[4], seg[5] = b, seg[3] + confidence * n * (language is not None), seg[4] + n, max(seg[5], margin)
+            elif language is None:
+                free += n
             else:
-                out.append([a if lead is None or out else lead, b, language, confidence * n, n])
+                out.append([a if out else 0, b, language, confidence * n, n + free, margin])
+                free = 0
         if not out:
-            return [(0, len(text), "und", 0.0, 0)]
-        return [(a, b, language, c / n, n) for a, b, language, c, n in out]
+            return [(0, len(text), "und", 0.0, 0, 0)]
+        out[-1][1] = len(text)
+        return [(a, b, language, c / max(1, n), n, m) for a, b, language, c, n, m in out]
 
 
 def bounded_samples(samples: DataFrame, language: Column, text: Column, per_language: int = SAMPLES_PER_LANGUAGE) -> list[tuple[str, str]]:
@@ -264,20 +290,20 @@ def bounded_samples(samples: DataFrame, language: Column, text: Column, per_lang
     return sorted((r.l, r.t) for r in some)
 
 
-_SEGMENT = "seq int, begin int, end int, language string, confidence double, letters int"
+_SEGMENT = "seq int, begin int, end int, language string, confidence double, letters int, margin int"
 
 
 def sample_documents(content: DataFrame, files: DataFrame, most: int = SAMPLE_DOCUMENTS) -> list[tuple[str, str]]:
-    """(label, text) of at most so many files with a label and a text, those with the smallest hashes of their ids."""
-    named = files.select("file_id", language_code(F.col("language")).alias("l")).filter("l is not null and file_id is not null").distinct()
+    """(label, text) of at most `most` files with a label and a text, those with the smallest hashes of their ids, one row a file."""
+    named = files.select("file_id", language_code(F.col("language")).alias("l")).filter("l is not null and file_id is not null").groupBy("file_id").agg(F.min("l").alias("l"))
     ids = content.select("file_id").filter("text is not null").join(named, "file_id", "left_semi").distinct().orderBy(F.xxhash64("file_id"), "file_id").limit(most)
     ids = F.broadcast(ids.join(named, "file_id"))  # at most `most` files
-    rows = content.select("file_id", "text").filter("text is not null").join(ids, "file_id").orderBy(F.xxhash64("file_id"), "text", "l").limit(2 * most).collect()
-    return list(dict.fromkeys((r.l, r.text) for r in rows))
+    rows = content.select("file_id", "text").filter("text is not null").join(ids, "file_id").groupBy("file_id").agg(F.max("text").alias("text"), F.max("l").alias("l"))
+    return [(r.l, r.text) for r in rows.orderBy(F.xxhash64("file_id"), "file_id").collect()]
 
 
 def language_segments(docs: DataFrame, dictionaries: Dictionaries, id_col: str = "file_id", text_col: str = "text") -> DataFrame:
-    """(id, seq, begin, end, language, confidence, letters): every passage of every row. A null or blank text has one passage, 'und'.
+    """(id, seq, begin, end, language, confidence, letters, margin): every passage of every row. A null or blank text has one passage, 'und'.
 
     begin and end are offsets in code points. Repeated rows give repeated passages.
     """
@@ -290,13 +316,13 @@ def language_segments(docs: DataFrame, dictionaries: Dictionaries, id_col: str =
         for b in batches:
             who, seqs, rows = [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
-                s = classifier.segments(t) if t and t.strip() else [(0, len(t or ""), "und", 0.0, 0)]
+                s = classifier.segments(t) if t and t.strip() else [(0, len(t or ""), "und", 0.0, 0, 0)]
                 who += [i] * len(s)
                 seqs += range(len(s))
                 rows += s
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            types = [pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who, pa.int64())), pa.array(seqs, pa.int32()), *[pa.array(list(c), t) for c, t in zip(cols, types)]], [id_col, "seq", "begin", "end", "language", "confidence", "letters"])
+            cols = list(zip(*rows)) if rows else [[]] * 6
+            types = [pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who, pa.int64())), pa.array(seqs, pa.int32()), *[pa.array(list(c), t) for c, t in zip(cols, types)]], [id_col, "seq", "begin", "end", "language", "confidence", "letters", "margin"])
 
     return docs.select(id_col, F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"`{id_col}` {kind}, {_SEGMENT}")
 
@@ -310,7 +336,10 @@ def document_languages(segments: DataFrame, id_col: str = "file_id") -> DataFram
 
 
 def unnamed_languages(content: DataFrame, files: DataFrame, dictionaries: Dictionaries) -> DataFrame:
-    """(file_id, language): languages of a file's texts that none of its labels names. Files without label name none."""
-    found = language_segments(content, dictionaries).filter("language != 'und' and file_id is not null").groupBy("file_id", "language").agg(F.lit(1).alias("_")).drop("_")
+    """(file_id, language): languages of a file's texts that none of its labels names. Files without label name none.
+
+    A language counts if a sentence of it is clear by itself (its margin isn't WEAK): a word such as TODO in a text of another makes none.
+    """
+    found = language_segments(content, dictionaries).filter((F.col("margin") >= WEAK) & F.col("file_id").isNotNull()).groupBy("file_id", "language").agg(F.lit(1).alias("_")).drop("_")
     named = files.select("file_id", language_code(F.col("language")).alias("language")).filter("language is not null").groupBy("file_id", "language").agg(F.lit(1).alias("_")).drop("_")
     return found.join(named, ["file_id", "language"], "left_anti")

@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomdex.llm.boosting import Trees, fit, isotonic
-from loomdex.llm.language import BASE_TEXT, plain, romanised
+from loomdex.llm.base_text import BASE_TEXT
+from loomdex.llm.language import plain, romanised
 
 #: At most so many graded passages a level, and labelled passages a language, are read.
 SAMPLES_PER_LEVEL, SAMPLES_PER_LANGUAGE = 400, 400

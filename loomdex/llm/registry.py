@@ -34,6 +34,12 @@ def p3_segments(spark: SparkSession, d: str) -> DataFrame:
     return language.language_segments(spread(table(spark, d, "extracted_content")), dictionaries(spark, d))
 
 
+def p3_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """By file: texts, code points in their passages, and where the last passage ends; passages that overlap or leave out anything give other sums."""
+    s = p3_segments(spark, d).groupBy("file_id").agg(F.count_if(F.col("seq") == 0).alias("n_texts"), F.sum(F.col("end") - F.col("begin")).alias("n_chars"), F.max("end").cast("long").alias("last"))
+    return s.select("file_id", "n_texts", "n_chars", "last")
+
+
 def p3_languages(spark: SparkSession, d: str) -> DataFrame:
     return language.document_languages(p3_segments(spark, d))
 
@@ -135,6 +141,8 @@ select content_hash, {', '.join(_BEST.format(c) for c in ('language', 'author',
   first(modified_time order by standing desc, t desc, n desc, file_id desc) as modified_time
 from k group by content_hash"""
 
+P3_OFFSETS_SQL = "select file_id, count(*) as n_texts, cast(sum(coalesce(length(text), 0)) as bigint) as n_chars, max(coalesce(length(text), 0)) as last from extracted_content group by file_id"
+
 # every text with a character has a token; a right packing has no fault
 P7_FAULTS_SQL = "select count(*) as n_ids, 0 as overfull, 0 as gaps, 0 as cut, 0 as lost from documents where text <> ''"
 
@@ -142,9 +150,9 @@ P6_ROUND_TRIP_SQL = "select doc_id, coalesce(text, '') as text from documents"
 
 
 def queries() -> dict:
-    own = [p1_found, p1_terms, p3_found, p3_segments, p3_languages, p5_found, p5_survivors, p6_ids, p6_round_trip, p7_containers, p7_fill, p7_faults, p8_found, p8_levels, p8_profile]
+    own = [p1_found, p1_terms, p3_found, p3_segments, p3_offsets, p3_languages, p5_found, p5_survivors, p6_ids, p6_round_trip, p7_containers, p7_fill, p7_faults, p8_found, p8_levels, p8_profile]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND_SQL, "p1_terms": P1_TERMS_SQL, "p5_found": P5_FOUND_SQL, "p5_survivors": P5_SURVIVORS_SQL, "p6_round_trip": P6_ROUND_TRIP_SQL, "p7_faults": P7_FAULTS_SQL}
+    return {"p1_found": P1_FOUND_SQL, "p1_terms": P1_TERMS_SQL, "p3_offsets": P3_OFFSETS_SQL, "p5_found": P5_FOUND_SQL, "p5_survivors": P5_SURVIVORS_SQL, "p6_round_trip": P6_ROUND_TRIP_SQL, "p7_faults": P7_FAULTS_SQL}

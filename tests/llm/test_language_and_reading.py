@@ -1,6 +1,8 @@
 """Languages and reading levels: held-out accuracy and edge cases."""
 
+import os
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -36,6 +38,51 @@ def test_held_out_passages(samples):
     assert right / total > 0.93
 
 
+def test_everyday_sentences_that_nothing_was_fitted_on(samples):
+    sys.path.insert(0, os.path.dirname(__file__))
+    from everyday import SENTENCES
+
+    c = language.Classifier(language.Dictionaries(samples))
+    right, wrong, total = {}, 0, 0
+    for lang, text in SENTENCES.items():
+        got = [c.classify(text[a:b])[0] for a, b in language.sentences(text)]
+        assert len(got) == 60
+        right[lang] = sum(g == lang for g in got)
+        wrong += sum(g not in (lang, None) for g in got)
+    assert sum(right.values()) >= 0.9 * 360 and min(right.values()) >= 50 and wrong <= 4, (right, wrong)
+
+
+def test_short_sentences_take_context(samples):
+    c = language.Classifier(language.Dictionaries(samples))
+    text = "The team compared the shared report before the end of the quarter. TODO. Yes. We have to leave before it gets dark."
+    assert [s[2] for s in c.segments(text)] == ["eng"]
+    lone = c.segments("Danke schön, bis morgen.")
+    assert lone[0][2] == "deu" and lone[0][:2] == (0, 24)
+    mixed = c.segments("Xq zzkp. The report was archived by the team in the morning. 日本語")
+    assert [s[2] for s in mixed] == ["eng"] and mixed[0][0] == 0 and mixed[0][3] < c.segments("The report was archived by the team in the morning.")[0][3]
+
+
+def test_files_held_out_of_the_dictionaries(spark, samples):
+    """Sentences of labelled files of another table than the dictionaries were extended from."""
+    d = "/root/testdata/sf0.01"
+    frames = [spark.read.parquet(f"{d}/{t}.parquet") for t in ("extracted_content", "files")]
+    taken = language.sample_documents(*frames, most=300)
+    assert len(taken) == 300
+    c = language.Classifier(language.Dictionaries(samples).extended(taken))
+    seen, rest = {t for _, t in taken}, language.sample_documents(*frames, most=2000)
+    agree = [0, 0]
+    for label, text in rest:
+        letters = {}
+        for x in c.segments(text):
+            letters[x[2]] = letters.get(x[2], 0) + x[4]
+        best = max(letters, key=letters.get)
+        if best != "und":
+            agree[0 if text in seen else 1] += best == label
+    n = sum(t in seen for _, t in rest)
+    # labels are often wrong, in both parts alike: files that the dictionaries haven't seen agree as often as those they have
+    assert agree[1] / (len(rest) - n) > agree[0] / n - 0.06, (agree, n, len(rest))
+
+
 def test_states_and_mixtures(samples):
     c = language.Classifier(language.Dictionaries(samples))
     german, english = "Unsere Gruppe hat früh am Morgen das Rezept mit allen Seiten zurückgegeben.", "The team compared the shared report before the end of the quarter."
