@@ -136,13 +136,20 @@ def test_trees_learn_and_calibrate():
 
 
 def test_held_out_levels(samples, graded):
-    r = reading.cross_validate(graded, samples, folds=3)
-    assert r["passages"] == len(graded) and r["passage_mae"] < 0.5 and r["hard_right"] > 0.9
+    rows = reading.cross_validate(sorted(graded), samples, [i % 3 for i in range(len(graded))])
+    r = reading.summary(rows)
+    assert r["passages"] == len(graded) and r["mae"] < 0.2 and r["hard_right"] > 0.95
+
+
+def test_kinds_of_writing(graded):
+    k = reading.kinds(sorted(graded), 8)
+    assert len(k) == len(graded) and set(k) == set(range(8)) and k == reading.kinds(sorted(graded), 8)
+    assert reading.kinds([(1, "a cat sat"), (1, "a cat ran"), (5, "law deed fee"), (5, "law deed rent")], 2) == [0, 0, 1, 1]
 
 
 def test_levels(spark, samples, graded):
     model, report = reading.train(graded, samples)
-    assert report["sentence_hard_right"] > 0.95 and report["passage_mae"] < 0.4
+    assert report["sentence_hard_right"] > 0.95 and report["sentence_mae"] < 0.4
     hard = " ".join(t for g, t in graded if g == 5)[:3000]
     easy = " ".join(t for g, t in graded if g == 1)[:3000]
     rows = [(1, hard), (2, easy), (3, None), (4, " \n"), (5, hard + "\n\nUnsere Gruppe hat früh am Morgen das Rezept zurückgegeben."), (6, easy + "\n" + hard[:900]), (7, "Von den 25 Seiten waren nur wenige wirklich gut."), (8, "x" * 50000), (9, hard), (9, hard)]
