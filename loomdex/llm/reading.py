@@ -314,10 +314,10 @@ def train(graded: list[tuple[int, str]], labelled: list[tuple[str, str]], folds:
 
 def kinds(graded: list[tuple[int, str]], n: int) -> list[int]:
     """The kind of writing of each passage, 0 to n - 1: passages are joined, most alike first, by the mean likeness of their words (cosine of the
-    words of a passage that fewer than half of the passages hold). The level isn't asked. The samples name no source; this stands for it."""
+    words of a passage that at most half of the passages hold). The level isn't asked. The samples name no source; this stands for it."""
     held = [set(words_of(t)) for _, t in graded]
     count = Counter(w for h in held for w in h)
-    index = {w: i for i, w in enumerate(sorted(w for w, c in count.items() if c < len(graded) / 2))}
+    index = {w: i for i, w in enumerate(sorted(w for w, c in count.items() if c <= len(graded) / 2))}
     m = np.zeros((len(graded), len(index)))
     for i, h in enumerate(held):
         for w in h:
