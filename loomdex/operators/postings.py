@@ -24,22 +24,36 @@ class AnalyzerConfig:
         return f"stop={self.remove_stop_words},detect={self.detect_language},meta={self.index_metadata}"
 
 
-def build_postings(texts: DataFrame, config: AnalyzerConfig = AnalyzerConfig(detect_language=False)) -> DataFrame:
+def build_postings(texts: DataFrame, config: AnalyzerConfig = AnalyzerConfig(detect_language=False), unique_ids: bool = False) -> DataFrame:
     """(file_id, term, term_frequency, positions) of texts (file_id, text).
 
     Positions count all tokens of the text from 0, removed stop words too. A null or blank text has no postings. Rows with the same
-    file_id are taken as one text each and their postings added up. The texts are shuffled by file once; grouping by file and term then
-    needs no other shuffle, so the exploded tokens, many times the texts' size, never travel.
+    file_id are taken as one text each and their postings added up. A text is one row: its tokens are put in order and cut into postings
+    within the row, so that neither texts nor tokens are shuffled. Only the postings of rows that may share an id are, added up on the
+    mappers; unique_ids says that no two rows do (no null id twice either), and then there is no shuffle at all.
     """
-    keep = ["file_id", "text"]
-    # a fixed number: small texts are much work, and fewer partitions would leave cores idle
-    d = texts.select(*keep).repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_id").withColumn("normal", normalise(F.col("text"))).drop("text")
+    d = texts.select("file_id", normalise(F.col("text")).alias("normal"))
+    words = F.transform(tokens(F.col("normal")), lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
     if config.remove_stop_words:
         d = d.withColumn("language", detect_language(F.col("normal")) if config.detect_language else F.lit(None).cast("string"))
-    words = d.select("file_id", *(["language"] if config.remove_stop_words else []), F.posexplode(tokens(F.col("normal"))).alias("pos", "term"))
-    if config.remove_stop_words:
-        words = words.filter(~is_stop_word(F.col("term"), F.col("language")))
-    return words.groupBy("file_id", "term").agg(F.count("*").cast("int").alias("term_frequency"), F.array_sort(F.collect_list("pos")).alias("positions"))
+        words = F.filter(words, lambda w: ~is_stop_word(w["term"], F.col("language")))
+    d = d.select("file_id", F.sort_array(words).alias("words")).filter(F.size("words") > 0)
+    # each of these is used more than once above it, so the planner keeps it as a column instead of repeating it for every element
+    d = d.select("file_id", F.transform("words", lambda w: w["term"]).alias("term"), F.transform("words", lambda w: w["pos"]).alias("pos"))
+    first = F.filter(F.sequence(F.lit(0), F.size("term") - 1), lambda i: (i == 0) | (F.get("term", i) != F.get("term", i - 1)))
+    d = d.select("file_id", "term", "pos", first.alias("first"))
+    length = lambda a, k: F.coalesce(F.get("first", k + 1), F.size("term")) - a
+    parts = F.transform("first", lambda a, k: F.struct(F.get("term", a).alias("term"), length(a, k).alias("term_frequency"), F.slice("pos", a + 1, length(a, k)).alias("positions")))
+    out = d.select("file_id", F.inline(parts))
+    if unique_ids:
+        return out
+    merged = out.groupBy("file_id", "term").agg(F.sum("term_frequency").cast("int").alias("term_frequency"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return merged
+
+
+def by_term(postings: DataFrame) -> DataFrame:
+    """Postings in order of terms, as an index holds them: cut by term and file, so that no word, however common, is one task or one file."""
+    return postings.repartitionByRange("term", "file_id").sortWithinPartitions("term", "file_id")
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Search: one lazy plan from the query's words to the ranked files."""
+"""Search: from the query's words to the ranked files.
+
+The words of a query are expanded first, and the few terms that come out are named to the scan of the postings, which lie in order of terms;
+the result page is small, too, so its files are named to the scan of the texts. All else is one lazy plan.
+"""
 
 from __future__ import annotations
 
@@ -22,6 +26,8 @@ WEIGHTS = {"phrase": 1000.0, "filename": 80.0, "bm25": 1.0, "folder": 10.0, "rec
 FOLDERS = ("documents", "desktop", "downloads", "projects")
 DAY = 86400000
 RESULT_LIMIT, FUZZY_DISTANCE, PREFIX_LENGTH = 50, 1, 2
+#: Terms and files that are named to a scan; an expansion to more terms is joined instead.
+NAMED_TERMS, NAMED_FILES = 2000, 1000
 #: What is suggested for what is typed, in this order (fixed values).
 SUGGESTED = {
     "ext": "extension:", "extension": "extension:", "lang": "language:", "language": "language:", "auth": "author:", "author": "author:", "mod": "modified:", "modified": "modified:",
@@ -134,9 +140,16 @@ class Search:
         self._numbers = {id(n): i for group in (self.terms, self.phrases) for i, n in enumerate(group)}
 
     def matches(self) -> DataFrame:
-        """(file_id, leaves, matched_terms, hits) of every file with an expanded word; hits hold what BM25 needs."""
-        words = expand(self.index.terms, [t.value for t in self.terms], self.stemming, self.strict)
-        rows = self.index.postings.select("term", "file_id", "term_frequency").join(words, "term")
+        """(file_id, leaves, matched_terms, hits) of every file with an expanded word; hits hold what BM25 needs.
+
+        Expands when called: at most NAMED_TERMS rows come to the driver.
+        """
+        words, postings = expand(self.index.terms, [t.value for t in self.terms], self.stemming, self.strict), self.index.postings.select("term", "file_id", "term_frequency")
+        few = words.limit(NAMED_TERMS + 1).collect()
+        if len(few) <= NAMED_TERMS:
+            postings = postings.filter(F.col("term").isin(sorted({r.term for r in few})))
+            words = F.broadcast(words.sparkSession.createDataFrame(few, words.schema))  # bounded by the line above
+        rows = postings.join(words, "term")
         return rows.groupBy("file_id").agg(
             F.collect_set("leaf").alias("leaves"), F.array_sort(F.collect_set("term")).alias("matched_terms"), F.collect_list(F.struct("term_frequency", "document_frequency")).alias("hits")
         )
@@ -205,11 +218,17 @@ class Search:
         return best if order == "relevance" else best.orderBy(*ORDERS[order]())
 
     def with_snippets(self, limit: int = RESULT_LIMIT) -> DataFrame:
-        """The best files with snippets; only their texts are read."""
+        """The best files with snippets. The page is found when this is called; then only its texts are read."""
         from loomdex.operators.snippets import snippets
 
-        best = F.broadcast(self.top(limit))  # at most `limit` rows
-        d = self.index.texts.join(best, "file_id")
+        best = self.top(limit)
+        if limit <= NAMED_FILES:
+            page = best.collect()
+            best = best.sparkSession.createDataFrame(page, best.schema)
+        texts = self.index.texts.select("file_id", "text")
+        if limit <= NAMED_FILES:
+            texts, best = texts.filter(F.col("file_id").isin([r.file_id for r in page])), F.broadcast(best)
+        d = texts.join(best, "file_id")
         words = F.array_union("matched_terms", F.array(*[F.lit(t.value) for t in self.terms]).cast("array<string>"))
         return d.withColumn("snippets", snippets(F.col("text"), words, F.col("phrase_positions"))).drop("text")
 

@@ -18,7 +18,7 @@ from loomdex.operators.snippets import GAP, highlight, hit_clusters
 from loomdex.plans import search as S
 from loomdex.plans.filters import predicate
 from loomdex.plans.query import Phrase, parse
-from loomdex.session import NOW_MS, table, written
+from loomdex.session import NOW_MS, _file_system, spread, table, written
 from loomdex.streaming.changes import coalesced, debounced_batch
 
 QUERIES: dict = {}
@@ -64,15 +64,23 @@ def corpus_texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), "text")
 
 
-_built: dict[tuple[str, str], S.SearchIndex] = {}
+def corpus_postings(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id is unique."""
+    return P.build_postings(spread(corpus_texts(spark, d)), unique_ids=True)
+
+
+_built: dict[tuple, S.SearchIndex] = {}
 
 
 def search_index(spark: SparkSession, d: str) -> S.SearchIndex:
-    """The index of a folder's documents, written once a session."""
-    key = (spark.sparkContext.applicationId, d)
+    """The index of a folder's documents, written once a session for each state of the table's files."""
+    fs, path = _file_system(spark, f"{d}/documents.parquet")
+    status = fs.getFileStatus(path)
+    parts = fs.listStatus(path) if status.isDirectory() else [status]
+    key = (spark.sparkContext.applicationId, d, *sorted((x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in parts))
     if key not in _built:
         files, texts = corpus_files(spark, d), corpus_texts(spark, d)
-        postings = written(P.build_postings(texts), "postings")
+        postings = written(P.by_term(corpus_postings(spark, d)), "postings")
         files = files.join(P.document_length(files, postings), "file_id")
         _built[key] = S.SearchIndex(written(files, "files"), written(P.document_frequency(postings), "terms"), postings, texts)
     return _built[key]
@@ -96,17 +104,17 @@ f as (select a.*, coalesce(b.dl, 0) as doc_length, regexp_replace(path, '^.*/',
 
 @query(f"with {_TOKENS} select file_id, term, term_frequency, positions from p")
 def t2_postings(spark, d):
-    return P.build_postings(corpus_texts(spark, d))
+    return corpus_postings(spark, d)
 
 
 @query(f"with {_TOKENS} select * from t")
 def a2_document_frequency(spark, d):
-    return P.document_frequency(P.build_postings(corpus_texts(spark, d)))
+    return P.document_frequency(corpus_postings(spark, d))
 
 
 @query(f"with {_TOKENS} select file_id, cast(doc_length as integer) as doc_length from f")
 def a3_document_length(spark, d):
-    return P.document_length(corpus_files(spark, d), P.build_postings(corpus_texts(spark, d)))
+    return P.document_length(corpus_files(spark, d), corpus_postings(spark, d))
 
 
 @query(f"with {_TOKENS} select count(*) as n_files, round(avg(doc_length), 6) as mean_length, (select count(*) from t) as n_terms, (select count(*) from p) as n_postings from f")
