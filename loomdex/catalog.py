@@ -1,7 +1,9 @@
 """An index on disk: tables in generations, and everything that is done with it from outside.
 
-A change writes the tables that it touches under a new generation and then one manifest that names for each table the generation that is
-valid. The manifest appears whole or not at all, so a failed change leaves the index as it was, and readers keep what they opened.
+A change writes under a new generation and then one manifest that names for each table the generations that are valid. The manifest appears
+whole or not at all, so a failed change leaves the index as it was, and readers keep what they opened. The large tables (files, texts, postings,
+terms, runs) take what is new as another segment; files that went away are named in the table `dead`, and their terms are counted down. What a
+change writes is therefore as large as the change. compact() makes one segment of many again.
 """
 
 from __future__ import annotations
@@ -15,12 +17,14 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomdex.functions.analysis import detect_language
+from loomdex.log import Logs
 from loomdex.operators import corpus
-from loomdex.operators.postings import AnalyzerConfig, build_postings, document_frequency, document_length
+from loomdex.operators.postings import AnalyzerConfig, build_postings, by_term, document_frequency, document_length, encoded
 from loomdex.operators.signed_counts import HadoopFiles
 from loomdex.plans.search import Search, SearchIndex, suggestions
 from loomdex.schemas import REQUIRED, SCHEMAS, conform, struct
-from loomdex.sources.crawl import CrawlConfig, ignored_count, listed
+from loomdex.sources.crawl import CrawlConfig, contents, ignored_count, listed
 from loomdex.sources.extractors import EXTRACTORS, extracted
 
 #: Defaults of the settings (fixed values).
@@ -32,20 +36,37 @@ SETTINGS = {
 #: Settings that make indexed texts stale.
 REBUILDING = {"removeStopWords", "enableLanguageDetection", "indexMetadata", "enabledExtractors"}
 LOCK_MS, SCHEMA_VERSION = 300_000, 2
+#: Modes of indexing and times between scheduled runs (fixed values).
+MODES, INTERVALS_MS = ("immediate", "startup", "scheduled", "manual"), {"hourly": 3600_000, "daily": 24 * 3600_000}
+#: A table of more segments is compacted at the end of a run; so many dead files are named to a scan.
+MAX_SEGMENTS, NAMED_FILES = 16, 1000
 
-#: Tables beside those of the schemas: texts for snippets, and postings by term.
-_MORE = {"texts": "file_id long, text string", "index_postings": "term string, file_id long, term_frequency int, positions array<int>", "index_terms": "term string, document_frequency long"}
+#: Tables beside those of the schemas: texts for snippets, postings by term, and ids of files that went away.
+_MORE = {"dead": "file_id long", "texts": "file_id long, text string", "index_postings": "term string, file_id long, term_frequency int, positions array<int>", "index_terms": "term string, document_frequency long"}
+
+
+#: Tables of which the rows of dead files are left out.
+_BY_FILE = ("files", "texts", "index_postings")
 
 
 class Locked(RuntimeError):
     pass
 
 
+class Stopped(RuntimeError):
+    pass
+
+
 class Index:
-    def __init__(self, spark: SparkSession, path: str, clock: Callable[[], int] = lambda: int(time.time() * 1000)):
-        self.spark, self.path, self.clock = spark, path.rstrip("/"), clock
+    def __init__(self, spark: SparkSession, path: str, clock: Callable[[], int] = lambda: int(time.time() * 1000), logs: Logs | None = None):
+        self.spark, self.path, self.clock, self.logs = spark, path.rstrip("/"), clock, logs
         self.files = HadoopFiles(spark, self.path)
         self.owner = uuid.uuid4().hex
+        self.recovery: dict | None = None
+
+    def _log(self, level: str, category: str, message: str) -> None:
+        if self.logs:
+            getattr(self.logs, level)(category, "Index", message)
 
     # tables
 
@@ -56,19 +77,37 @@ class Index:
     def _schema(self, name: str):
         return SCHEMAS[name] if name in SCHEMAS else struct(_MORE[name])
 
-    def table(self, name: str) -> DataFrame:
-        g = self.manifest()["tables"].get(name)
-        if g is None:
+    def segments(self, name: str) -> list[int]:
+        g = self.manifest()["tables"].get(name, [])
+        return [g] if isinstance(g, int) else g
+
+    def _raw(self, name: str) -> DataFrame:
+        parts = self.segments(name)
+        if not parts:
             return self.spark.createDataFrame([], self._schema(name))
-        return self.spark.read.schema(self._schema(name)).parquet(f"{self.path}/gen={g:08d}/{name}")
+        return self.spark.read.schema(self._schema(name)).parquet(*[f"{self.path}/gen={g:08d}/{name}" for g in parts])
 
-    def commit(self, tables: dict[str, DataFrame], **entries) -> int:
-        """Write the tables and make them valid at once. A second writer of the same generation fails."""
+    def table(self, name: str) -> DataFrame:
+        """The valid rows. Filters on it reach the scan."""
+        d = self._raw(name)
+        if name in _BY_FILE and self.segments("dead"):
+            return d.join(self._raw("dead").distinct(), "file_id", "left_anti")
+        if len(self.segments(name)) > 1:
+            if name == "index_terms":
+                return d.groupBy("term").agg(F.sum("document_frequency").alias("document_frequency")).filter("document_frequency > 0")
+            if name == "runs":  # a run is written when it begins and when it ends
+                row = F.struct(*d.columns)
+                return d.groupBy(F.col("id").alias("_id")).agg(F.max_by(row, F.col("status") != "in_progress").alias("r")).select("r.*")
+        return d
+
+    def commit(self, tables: dict[str, DataFrame], append: dict[str, DataFrame] | None = None, **entries) -> int:
+        """Write tables as a whole and segments of others, and make them valid at once. A second writer of the same generation fails."""
         m = self.manifest()
         g = m["generation"] + 1
-        for name, df in tables.items():
+        append = append or {}
+        for name, df in [*tables.items(), *append.items()]:
             df.write.mode("overwrite").parquet(f"{self.path}/gen={g:08d}/{name}")
-        m |= {"generation": g, "tables": m["tables"] | {n: g for n in tables}} | entries
+        m |= {"generation": g, "tables": m["tables"] | {n: [g] for n in tables} | {n: [*self.segments(n), g] for n in append}} | entries
         target = f"{self.path}/_manifest/{g:08d}.json"
         if self.files.exists(target):
             raise Locked(f"generation {g} was written by another writer")
@@ -106,6 +145,11 @@ class Index:
         return key in REBUILDING
 
     def add_folder(self, path: str) -> dict:
+        """Add a folder, which must exist, or return it if it is there already."""
+        if not self.files.exists(path):
+            raise FileNotFoundError(f"Folder does not exist: {path}")
+        if not self.files.is_folder(path):
+            raise NotADirectoryError(f"Path is not a directory: {path}")
         rows = self._small("folders")
         for r in rows:
             if r["path"] == path:
@@ -118,10 +162,7 @@ class Index:
         rows = self._small("folders")
         gone = [r["path"] for r in rows if r["id"] == folder_id]
         staged = {"folders": self._rows("folders", [r for r in rows if r["id"] != folder_id])}
-        if gone:
-            f = self.table("files")
-            staged |= self._without(f.filter(corpus.under_folder(F.col("path"), gone[0])))
-        self.commit(staged)
+        self.commit(staged, self._removal(self.table("files").filter(corpus.under_folder(F.col("path"), gone[0]))) if gone else None)
 
     def set_folder_enabled(self, folder_id: int, enabled: bool) -> None:
         self.commit({"folders": self._rows("folders", [r | {"enabled": enabled} if r["id"] == folder_id else r for r in self._small("folders")])})
@@ -177,8 +218,9 @@ class Index:
         held = self.lock()
         if held is None or held["owner"] != (owner or self.owner):
             return False
-        self.force_release()
-        return self.acquire(owner, ttl_ms, held["context"])
+        # written over, so that no other can take it in between
+        self.files.replace(f"{self.path}/_lock.json", json.dumps(held | {"expires_at": self.clock() + ttl_ms}))
+        return (self.lock() or {}).get("owner") == held["owner"]
 
     def is_locked(self) -> bool:
         held = self.lock()
@@ -205,86 +247,180 @@ class Index:
         size = s["maxFileSizeBytes"]
         return CrawlConfig(rules, tuple(e for e in json.loads(s["enabledExtractors"]) if e in EXTRACTORS), int(size) if size.isdigit() else 0)
 
-    def _without(self, gone: DataFrame) -> dict[str, DataFrame]:
-        f, p = corpus.without_files(self.table("files"), self.table("index_postings"), gone)
-        t = self.table("texts").join(f.select("file_id"), "file_id", "left_semi")
-        return {"files": f, "index_postings": p, "texts": t, "index_terms": document_frequency(p)}
+    def _removal(self, gone: DataFrame) -> dict[str, DataFrame]:
+        """Segments that take away the files of the paths: their ids, and their terms counted down."""
+        ids = self.table("files").join(gone.select("path").distinct(), "path", "left_semi").select("file_id")
+        few = [r[0] for r in ids.limit(NAMED_FILES + 1).collect()]
+        if not few:
+            return {}
+        postings = self.table("index_postings").select("term", "file_id")
+        lost = postings.filter(F.col("file_id").isin(few)) if len(few) <= NAMED_FILES else postings.join(ids, "file_id", "left_semi")
+        return {"dead": ids, "index_terms": document_frequency(lost).withColumn("document_frequency", -F.col("document_frequency"))}
+
+    def _staged(self, df: DataFrame, stage: str, name: str) -> DataFrame:
+        df.write.parquet(f"{stage}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{stage}/{name}")
+
+    def _stop_if_asked(self) -> None:
+        if self.files.exists(f"{self.path}/_stop"):
+            raise Stopped("Indexing was stopped")
+
+    def stop_indexing(self) -> None:
+        """Ask a running start_indexing, of whatever process, to end before its next step; what it has not committed is lost."""
+        self.files.replace(f"{self.path}/_stop", "")
 
     def apply_tasks(self, tasks: DataFrame) -> int:
-        """Index and delete paths (path, task) as one generation. Returns how many files were indexed."""
-        now, config, crawl = self.clock(), self.analyzer(), self.crawl_config()
+        """Index and delete paths (path, task) as one generation. Returns how many files were indexed.
+
+        Only the bytes of the paths to index are read, and what is written is as large as the change. An index that gets nothing new from
+        the tasks stays as it is.
+        """
+        now, config, crawl, stage = self.clock(), self.analyzer(), self.crawl_config(), f"{self.path}/_stage/{uuid.uuid4().hex}"
         roots = [r["path"] for r in self.folders() if r["enabled"]]
-        wanted = tasks.filter("task = 'index'").select("path").distinct()
-        gone = tasks.select("path").distinct()
-        new = listed(self.spark, roots, crawl, content=True).join(wanted, "path", "left_semi") if roots else None
-        kept = self._without(gone)
-        if new is None:
-            self.commit(kept)
-            return 0
-        got = new.select("path", "size", "modified_time", "extension", F.sha2("content", 256).alias("content_hash")).join(extracted(new), "path")
-        # written once: extraction is not repeated for each table that is made of it
-        stage = f"{self.path}/_stage/{uuid.uuid4().hex}"
-        got.withColumn("file_id", F.xxhash64("path", F.lit(now))).write.parquet(stage)
-        got = self.spark.read.parquet(stage)
-        good = got.filter("error is null")
-        postings = build_postings(good.select("file_id", "text"), config).select("term", "file_id", "term_frequency", "positions")
-        from loomdex.functions.analysis import detect_language
-
-        lengths = document_length(good, postings)
-        meta = config.index_metadata
-        rows = good.join(lengths, "file_id").select(
-            "file_id", "path", "size", "modified_time", "doc_length", F.lit(now).alias("indexed_at"), (detect_language(F.col("text")) if config.detect_language else F.lit(None)).alias("language"),
-            "content_hash", *[(F.col(c) if meta else F.lit(None)).alias(c) for c in ("author", "created_at")], "extension",
-        )
-        bad = got.filter("error is not null").select("path", F.col("error").alias("message"), F.lit(now).alias("ts"))
-        old = self.table("failures").join(wanted, "path", "left_anti")
-        again = self.table("failures").select("path", "retry_count", "ignored")
-        failed = corpus.failure_rows(bad).drop("retry_count").join(again, "path", "left")
+        try:
+            tasks = self._staged(tasks.select("path", "task").distinct(), stage, "tasks")
+            wanted = tasks.filter("task = 'index'").select("path").distinct()
+            new = contents(self.spark, roots, wanted, crawl) if roots else None
+            append = self._removal(tasks)
+            if new is None:
+                if append:
+                    self.commit({}, append)
+                return 0
+            self._stop_if_asked()
+            got = new.select("path", "size", "modified_time", "extension", F.sha2("content", 256).alias("content_hash")).join(extracted(new), "path")
+            # written once: extraction is not repeated for each table that is made of it. The generation makes the ids of a path differ
+            got = self._staged(got.withColumn("file_id", F.xxhash64("path", F.lit(self.manifest()["generation"]))), stage, "files")
+            good = got.filter("error is null")
+            postings = self._staged(build_postings(good.select("file_id", "text"), config, unique_ids=True).select("term", "file_id", "term_frequency", "positions"), stage, "postings")
+            self._stop_if_asked()
+            meta = config.index_metadata
+            language = detect_language(F.col("text")) if config.detect_language else F.lit(None)
+            rows = good.join(document_length(good, postings), "file_id").select(
+                "file_id", "path", "size", "modified_time", "doc_length", F.lit(now).alias("indexed_at"), language.alias("language"),
+                "content_hash", *[(F.col(c) if meta else F.lit(None)).alias(c) for c in ("author", "created_at")], "extension",
+            )
+            terms = document_frequency(postings)
+            append |= {
+                "files": conform(rows, "files"), "index_postings": by_term(postings), "texts": good.select("file_id", "text").repartitionByRange("file_id").sortWithinPartitions("file_id"),
+                "index_terms": append["index_terms"].unionByName(terms) if append else terms,
+            }
+            self.commit(self._failures_after(got, wanted, now), append, analyzer=config.key())
+            n, bad = good.count(), got.count() - good.count()
+            self._log("info", "index", f"{n} files indexed, {bad} failed")
+            return n
+        finally:
+            self.files.delete(stage)
+
+    def _failures_after(self, got: DataFrame, wanted: DataFrame, now: int) -> dict[str, DataFrame]:
+        """The table of failures, if the files read change it: what was read again without error has none any more."""
+        bad, held = got.filter("error is not null").select("path", F.col("error").alias("message"), F.lit(now).alias("ts")), self.table("failures")
+        if bad.isEmpty() and held.join(wanted, "path", "left_semi").isEmpty():
+            return {}
+        failed = corpus.failure_rows(bad).drop("retry_count").join(held.select("path", "retry_count", "ignored"), "path", "left")
         failed = failed.select(F.xxhash64("path").alias("id"), "path", "category", "message", "occurred_at", F.coalesce(F.col("retry_count") + 1, F.lit(0)).cast("int").alias("retry_count"), F.coalesce("ignored", F.lit(False)).alias("ignored"))
-        whole = kept["index_postings"].unionByName(postings)
-        self.commit(
-            {
-                "files": conform(kept["files"].unionByName(conform(rows, "files")), "files"), "index_postings": whole.repartition("term").sortWithinPartitions("term"),
-                "index_terms": document_frequency(whole).sortWithinPartitions("term"), "texts": kept["texts"].unionByName(good.select("file_id", "text")), "failures": old.unionByName(failed),
-            },
-            analyzer=config.key(),
-        )
-        n = good.count()
-        self.files.delete(stage)
-        return n
+        return {"failures": held.join(wanted, "path", "left_anti").unionByName(failed)}
+
+    def _counted(self) -> dict[str, int]:
+        return {"total_indexed_files": self.table("files").count(), "total_indexed_terms": self.table("index_terms").count()}
 
     def start_indexing(self, trigger: str = "manual") -> dict:
-        """Compare the enabled folders with the index and apply what differs. Without differences the run ends as well."""
+        """Compare the enabled folders with the index and apply what differs. Without differences the run ends as well.
+
+        The run is logged when it begins and when it ends, and the counters of the metadata are set: its time, the mean time of the last runs, the
+        number of runs, files and terms.
+        """
         if not self.acquire(context={"trigger": trigger}):
             raise Locked("another indexing run holds the lock")
-        began = self.clock()
-        runs = self._small("runs")
-        run = {"id": max([r["id"] for r in runs], default=0) + 1, "started_at": began, "files_indexed": 0, "status": "in_progress"}
+        began, m = self.clock(), self.manifest()
+        self.files.delete(f"{self.path}/_stop")
+        run = {"id": m.get("last_run_id", 0) + 1, "started_at": began, "files_indexed": 0, "status": "in_progress"}
         try:
-            self.commit({"runs": self._rows("runs", [*runs, run])}, status="indexing")
+            self.commit({}, {"runs": self._rows("runs", [run])}, status="indexing", last_run_id=run["id"])
+            self._log("info", "index", f"run {run['id']} started ({trigger})")
             roots = [r["path"] for r in self.folders() if r["enabled"]]
             crawl = self.crawl_config()
             known = self.table("files").select("path", "size", "modified_time")
-            if self.manifest().get("analyzer") not in (None, self.analyzer().key()):
+            if m.get("analyzer") not in (None, self.analyzer().key()):
                 known = known.withColumn("size", F.lit(-1).cast("long"))  # other settings: nothing is unchanged
             disk = listed(self.spark, roots, crawl).select("path", "size", "modified_time") if roots else known.limit(0)
-            tasks = corpus.sync_tasks(disk, known)
-            n = self.apply_tasks(tasks) if not tasks.isEmpty() else 0
+            n = self.apply_tasks(corpus.sync_tasks(disk, known))
             end = self.clock()
             run |= {"completed_at": end, "duration_ms": end - began, "files_indexed": n, "status": "completed"}
-            self.commit({"runs": self._rows("runs", [*runs, run])}, status="indexed", ignored_files_count=ignored_count(self.spark, roots, crawl) if roots else 0, last_indexed_at=end, last_synced_at=end)
+            last = [r[0] for r in self.table("runs").filter("status = 'completed' and duration_ms is not null").orderBy(F.desc("completed_at")).limit(corpus.RUNS_AVERAGED).select("duration_ms").collect()]
+            mean = (sum(last) + run["duration_ms"]) / (len(last) + 1)
+            self.commit(
+                {}, {"runs": self._rows("runs", [run])}, status="indexed", error_message=None, ignored_files_count=ignored_count(self.spark, roots, crawl) if roots else 0, last_indexed_at=end, last_synced_at=end,
+                last_index_duration_ms=run["duration_ms"], average_index_duration_ms=int(mean + 0.5), total_indexing_runs=m.get("total_indexing_runs", 0) + 1, **self._counted(),
+            )
+            self._log("info", "index", f"run {run['id']} completed: {n} files in {run['duration_ms']} ms")
+            if max(len(self.segments(t)) for t in (*_BY_FILE, "index_terms", "runs")) > MAX_SEGMENTS:
+                self.compact()
             return run
         except Exception as e:
             run |= {"completed_at": self.clock(), "duration_ms": self.clock() - began, "status": "failed", "error_message": str(e)[:500]}
-            self.commit({"runs": self._rows("runs", [*runs, run])}, status="error", error_message=str(e)[:500])
+            self.commit({}, {"runs": self._rows("runs", [run])}, status="indexed" if isinstance(e, Stopped) else "error", error_message=str(e)[:500])
+            self._log("error", "error", f"run {run['id']} failed: {str(e)[:300]}")
             raise
         finally:
+            self.files.delete(f"{self.path}/_stop")
             self.release()
 
+    def retry_failure(self, path: str) -> int:
+        """Index one file that failed again; returns 1 if it worked now."""
+        return self.apply_tasks(self.spark.createDataFrame([(path, "index")], "path string, task string"))
+
+    def reconcile(self) -> dict[str, int]:
+        """Set the counters of the metadata by the tables."""
+        counted = self._counted()
+        self.commit({}, **counted)
+        return counted
+
+    def compact(self) -> None:
+        """One segment a table: dead rows go, terms are added up, postings lie in order of terms and texts of files."""
+        t = self.table
+        self.commit(
+            {
+                "files": t("files"), "texts": t("texts").repartitionByRange("file_id").sortWithinPartitions("file_id"), "index_postings": by_term(t("index_postings")),
+                "index_terms": t("index_terms").repartitionByRange("term").sortWithinPartitions("term"), "runs": t("runs"), "dead": self.spark.createDataFrame([], self._schema("dead")),
+            }
+        )
+
+    # schedule
+
+    def mode(self) -> str:
+        m = self.settings()["indexingMode"]
+        return m if m in MODES else "immediate"
+
+    def watches(self) -> bool:
+        return self.mode() == "immediate"
+
+    def syncs_at_start(self) -> bool:
+        return self.mode() in ("immediate", "startup")
+
+    def sync_due(self) -> bool:
+        """Whether a scheduled run is due: the mode is 'scheduled', and the last one is an interval or more ago."""
+        every = INTERVALS_MS.get(self.settings()["scheduleInterval"], INTERVALS_MS["daily"])
+        return self.mode() == "scheduled" and self.clock() - (self.manifest().get("last_scheduled_at") or 0) >= every
+
+    def run_schedule(self) -> dict | None:
+        """To be called from time to time: runs what is due, else nothing."""
+        if not self.sync_due():
+            return None
+        self.commit({}, last_scheduled_at=self.clock())
+        return self.start_indexing("scheduled")
+
+    def start(self) -> dict:
+        """What is done when the index is opened, in order: a stale lock is freed, older tables are brought to this version, an interrupted run is
+        recovered, the index is verified, and files are synchronised, each if its setting says so. Returns what was found."""
+        flag, out = self.flag, {"lock_recovered": self.recover_stale_lock(), "migrated": self.migrate() if self.settings()["migrationBehavior"] == "auto" else []}
+        self.recovery = self.recover() if flag("autoRecovery") else None
+        issues = {r["type"]: r["n"] for r in self.verify().collect()} if flag("enableIntegrityCheckOnStartup") else {}
+        return out | {"recovery": self.recovery, "issues": issues, "run": self.start_indexing("startup") if self.syncs_at_start() and self.folders() else None}
+
     def delete_index(self) -> None:
         """Files, postings, terms and texts go; runs, failures, folders, rules and settings stay."""
-        empty = {n: self.spark.createDataFrame([], self._schema(n)) for n in ("files", "index_postings", "index_terms", "texts")}
-        self.commit(empty, status="never_indexed", last_indexed_at=None, last_synced_at=None, ignored_files_count=0)
+        empty = {n: self.spark.createDataFrame([], self._schema(n)) for n in ("files", "index_postings", "index_terms", "texts", "dead")}
+        self.commit(empty, status="never_indexed", last_indexed_at=None, last_synced_at=None, ignored_files_count=0, total_indexed_files=0, total_indexed_terms=0)
 
     # queries
 
@@ -309,17 +445,60 @@ class Index:
         f = self.table("failures")
         self.commit({"failures": f.withColumn("ignored", F.when(F.col("path") == path, F.lit(value)).otherwise(F.col("ignored")))})
 
+    def delete_failures(self, path: str | None = None) -> None:
+        """The failure of one path, or all."""
+        f = self.table("failures")
+        self.commit({"failures": f.limit(0) if path is None else f.filter(~F.col("path").eqNullSafe(F.lit(path)))})
+
     def recent_runs(self, limit: int = 20) -> DataFrame:
         return self.table("runs").orderBy(F.desc("started_at")).limit(limit)
 
-    def statistics(self) -> dict:
+    def file(self, path: str) -> dict | None:
+        """The file of a path; the filter reaches the scan."""
+        found = self.table("files").filter(F.col("path") == path).limit(1).collect()
+        return found[0].asDict() if found else None
+
+    def files_by(self, **values: str | None) -> DataFrame:
+        """Files whose language, author and extension equal the values given; a value of None fits none. Without values all files."""
+        d = self.table("files")
+        for name, value in values.items():
+            if name not in ("language", "author", "extension"):
+                raise ValueError(name)
+            d = d.filter(F.col(name) == F.lit(value).cast("string"))
+        return d
+
+    def update_file(self, path: str, **values) -> bool:
+        """Set columns of a file's row; its postings stay. Rewrites the table of files, which holds no texts. False if there is no such file."""
+        names = [f for f in SCHEMAS["files"].names if f not in ("file_id", "path")]
+        if not set(values) <= set(names):
+            raise ValueError(sorted(set(values) - set(names)))
+        if self.file(path) is None:
+            return False
+        d = self.table("files")
+        self.commit({"files": d.withColumns({k: F.when(F.col("path") == path, F.lit(v).cast(d.schema[k].dataType)).otherwise(F.col(k)) for k, v in values.items()})})
+        return True
+
+    def metadata(self) -> dict:
+        """The row of the table `metadata`."""
+        m = self.manifest()
+        return {n: m.get(n) for n in SCHEMAS["metadata"].names} | {"status": m.get("status", "never_indexed"), "index_version": m["generation"]}
+
+    def statistics(self, pending: int = 0) -> dict:
         m = self.manifest()
-        return {"files": self.table("files").count(), "terms": self.table("index_terms").count(), "failures": self.failures().count(), "folders": len(self.folders()), "status": m.get("status", "never_indexed"), "last_indexed_at": m.get("last_indexed_at"), "ignored_files": m.get("ignored_files_count", 0)}
+        keys = ("last_indexed_at", "last_synced_at", "last_index_duration_ms", "average_index_duration_ms")
+        return {
+            "files": self.table("files").count(), "terms": self.table("index_terms").count(), "failures": self.failures().count(), "folders": len(self.folders()), "pending": pending, "status": m.get("status", "never_indexed"),
+            "ignored_files": m.get("ignored_files_count", 0), "size_bytes": self.files.size(self.path), "total_indexing_runs": m.get("total_indexing_runs", 0), **{k: m.get(k) for k in keys},
+        }
 
     def health(self, pending: int = 0) -> str:
-        s, m = self.statistics(), self.manifest()
-        one = self.spark.range(1).select(corpus.health(F.lit(s["files"]), F.lit(s["failures"]), F.lit(pending), F.lit(s["status"]), F.lit(m.get("last_synced_at")).cast("long"), self.clock()).alias("h"))
-        return one.first()[0]
+        return self.health_statistics(pending)["health"]
+
+    def health_statistics(self, pending: int = 0) -> dict:
+        """statistics() with health: 'error', 'warning' or 'healthy'."""
+        s = self.statistics(pending)
+        one = self.spark.range(1).select(corpus.health(F.lit(s["files"]), F.lit(s["failures"]), F.lit(pending), F.lit(s["status"]), F.lit(s["last_synced_at"]).cast("long"), self.clock()).alias("h"))
+        return s | {"health": one.first()[0]}
 
     # upkeep
 
@@ -344,10 +523,21 @@ class Index:
             bad = bad.select(F.xxhash64("path").alias("id"), "path", "category", "message", "occurred_at", "retry_count", F.lit(False).alias("ignored"))
             old = self.table("failures").join(bad.select("path"), "path", "left_anti").select(*SCHEMAS["failures"].names)
             self.commit({"runs": corpus.interrupted(runs, self.clock()), "failures": old.unionByName(bad)}, status="indexed")
+            self._log("info", "index", f"recovered: {n} runs marked failed, {k} files without postings")
         return {"interrupted_runs": n, "partial_files": k, "recovered": bool(n or k)}
 
+    def check_storage(self) -> dict[str, str]:
+        """Tables that cannot be read whole, with the reason; every file of every table is opened."""
+        bad = {}
+        for name in self.manifest()["tables"]:
+            try:
+                self.table(name).write.format("noop").mode("overwrite").save()
+            except Exception as e:  # noqa: BLE001 - reported
+                bad[name] = str(e)[:300]
+        return bad
+
     def maintain(self, analyze: bool = True, vacuum: bool = False) -> list[dict]:
-        """Ordered operations with their times: integrity_check, optimize, analyze, vacuum."""
+        """Ordered operations with their times: integrity_check, optimize, analyze, vacuum. all(x["success"]) tells whether all worked."""
         out = []
 
         def step(name: str, run: Callable[[], object]) -> None:
@@ -358,8 +548,12 @@ class Index:
             except Exception as e:  # noqa: BLE001 - reported
                 out.append({"operation": name, "success": False, "duration_ms": int((time.time() - began) * 1000), "error": str(e)[:300]})
 
-        step("integrity_check", lambda: [self.table(t).count() for t in self.manifest()["tables"]])
-        step("optimize", lambda: self.commit({"index_postings": self.table("index_postings").repartition("term").sortWithinPartitions("term")}))
+        def sound() -> None:
+            if bad := self.check_storage():
+                raise RuntimeError(json.dumps(bad))
+
+        step("integrity_check", sound)
+        step("optimize", self.compact)
         if analyze:
             step("analyze", lambda: self.commit({}, statistics={t: self.table(t).count() for t in self.manifest()["tables"]}))
         if vacuum:
@@ -368,7 +562,7 @@ class Index:
 
     def vacuum(self) -> int:
         m = self.manifest()
-        used = {f"gen={g:08d}" for g in m["tables"].values()}
+        used = {f"gen={g:08d}" for t in m["tables"] for g in self.segments(t)}
         gone = [n for n in self.files.names(self.path) if n.startswith("gen=") and n not in used]
         for n in gone:
             self.files.delete(f"{self.path}/{n}")
@@ -385,9 +579,11 @@ class Index:
         return done
 
     def export_backup(self, target: str) -> None:
-        """All tables and the settings in one folder."""
+        """All tables and the settings in one folder; terms and postings by id, too, and the metadata."""
+        terms, postings = encoded(self.table("index_postings"))
+        made = {"terms": terms, "postings": postings, "metadata": self._rows("metadata", [self.metadata()])}
         for name in [*SCHEMAS, *_MORE]:
-            self.table(name).write.mode("overwrite").parquet(f"{target.rstrip('/')}/{name}")
+            (conform(made[name], name) if name in made else self.table(name)).write.mode("overwrite").parquet(f"{target.rstrip('/')}/{name}")
         self.files.delete(f"{target.rstrip('/')}/settings.json")
         self.files.write(f"{target.rstrip('/')}/settings.json", json.dumps(self.settings()))
 
@@ -412,4 +608,6 @@ class Index:
         if not ok:
             raise ValueError(why)
         names = [n for n in self.files.names(source) if n in SCHEMAS or n in _MORE]
-        self.commit({n: self.spark.read.schema(self._schema(n)).parquet(f"{source.rstrip('/')}/{n}") for n in names})
+        kept = self.spark.read.schema(self._schema("metadata")).parquet(f"{source.rstrip('/')}/metadata").first()
+        held = {k: v for k, v in (kept.asDict() if kept else {}).items() if k not in ("index_version", "schema_version")}
+        self.commit({n: self.spark.read.schema(self._schema(n)).parquet(f"{source.rstrip('/')}/{n}") for n in names}, **held)

@@ -52,6 +52,21 @@ class HadoopFiles:
         if not self._fs.rename(part, self._path(p)):
             raise FileExistsError(f"{p} was written by another writer")
 
+    def replace(self, p: str, text: str) -> None:
+        """Write over what is there."""
+        stream = self._fs.create(self._path(p), True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+
+    def is_folder(self, p: str) -> bool:
+        return self.exists(p) and self._fs.getFileStatus(self._path(p)).isDirectory()
+
+    def size(self, p: str) -> int:
+        """Bytes of everything under a path."""
+        return self._fs.getContentSummary(self._path(p)).getLength() if self.exists(p) else 0
+
     def delete(self, p: str) -> None:
         self._fs.delete(self._path(p), True)
 

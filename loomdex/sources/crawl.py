@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomdex.functions.values import extension
 from loomdex.operators.corpus import HIDDEN, ignored
+from loomdex.operators.signed_counts import HadoopFiles
 from loomdex.sources.extractors import EXTENSIONS, EXTRACTORS
 
 
@@ -20,26 +22,61 @@ class CrawlConfig:
     skip_hidden: bool = True
 
 
-def listed(spark: SparkSession, roots: list[str], config: CrawlConfig = CrawlConfig(), content: bool = False) -> DataFrame:
-    """(path, size, modified_time, extension[, content]) of the files that are indexed, from all folders at once.
+def _plain(root: str) -> str:
+    return root.removeprefix("file://").rstrip("/")
 
-    Spark's file sources never list names that begin with a point or an underscore, so hidden files stay out whatever `skip_hidden` says; it
-    decides on files in hidden folders given as roots. Order of tests: ignore rules, hidden names, extractor, size. Without `content` the bytes are never read; the size bound is pushed to the source.
-    """
-    d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(roots)
+
+def _kept(d: DataFrame, roots: list[str], config: CrawlConfig, content: bool) -> DataFrame:
+    """Of files as the source gives them, those that are indexed. Order of tests: ignore rules, hidden names, extractor, size."""
     if config.max_bytes > 0:
         d = d.filter(F.col("length") <= config.max_bytes)
     d = d.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified_time"), *(["content"] if content else []))
     kinds = [e for e, name in EXTENSIONS.items() if name in config.enabled]
     d = d.withColumn("extension", extension(F.col("path"))).filter(~ignored(F.col("path"), list(config.rules)))
     if config.skip_hidden:
-        base = "|".join(r.rstrip("/") for r in roots)
-        inner = F.regexp_replace("path", "^(" + "|".join(map(lambda r: r.rstrip("/").replace("file://", ""), base.split("|"))) + ")/", "")
+        inner = F.regexp_replace("path", "^(" + "|".join(re.escape(_plain(r)) for r in roots) + ")/", "")
         d = d.filter(~inner.rlike(HIDDEN))
     return d.filter(F.col("extension").isin(kinds))
 
 
+def _source(spark: SparkSession):
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
+
+
+def listed(spark: SparkSession, roots: list[str], config: CrawlConfig = CrawlConfig(), content: bool = False) -> DataFrame:
+    """(path, size, modified_time, extension[, content]) of the files that are indexed, from all folders at once.
+
+    Spark's file sources never list names that begin with a point or an underscore, so hidden files stay out whatever `skip_hidden` says; it
+    decides on files in hidden folders given as roots. Without `content` the bytes are never read; the size bound is pushed to the source.
+    """
+    return _kept(_source(spark).load(roots), roots, config, content)
+
+
+#: Files that are named to the source one by one; of more the whole folders are read.
+NAMED_PATHS = 20_000
+
+
+def contents(spark: SparkSession, roots: list[str], wanted: DataFrame, config: CrawlConfig = CrawlConfig()) -> DataFrame | None:
+    """listed() with content of the wanted paths (path) alone, or None if there are none. Up to NAMED_PATHS files are opened by name, so nothing
+    else is read or even listed; paths outside of the roots and files that are gone are left out."""
+    few = [r[0] for r in wanted.select("path").filter("path is not null").distinct().limit(NAMED_PATHS + 1).collect()]
+    if len(few) > NAMED_PATHS:
+        return listed(spark, roots, config, True).join(wanted.select("path").distinct(), "path", "left_semi")
+    files = HadoopFiles(spark, roots[0])
+    few = [p for p in few if any(p.startswith(_plain(r) + "/") for r in roots) and files.exists(p)]
+    if not few:
+        return None
+    # what a name has of the signs of patterns stands for itself
+    return _kept(_source(spark).load([re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in few]), roots, config, True)
+
+
 def ignored_count(spark: SparkSession, roots: list[str], config: CrawlConfig) -> int:
-    """Files that rules hide; a hidden folder counts by its files."""
-    d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots).select("path")
-    return d.filter(ignored(F.regexp_replace("path", "^file:/+", "/"), list(config.rules))).count()
+    """Files and folders that rules hide, each folder once, whatever is in it."""
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots).select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
+    inner = F.regexp_extract("path", "^(?:" + "|".join(re.escape(_plain(r)) for r in roots) + ")/(.*)$", 1)
+    parts = F.split(inner, "/")
+    ups = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    base = F.expr("substring(path, 1, length(path) - length(inner))")
+    # the first part of the path that a rule hides: nothing below it counts
+    d = d.select("path", inner.alias("inner")).select(base.alias("base"), F.posexplode(ups).alias("k", "up"), "path").filter(ignored(F.concat("base", "up"), list(config.rules)))
+    return d.groupBy("path").agg(F.min(F.struct("k", F.concat("base", "up").alias("at"))).alias("m")).select("m.at").distinct().count()

@@ -3,13 +3,14 @@
 import datetime as dt
 import io
 import os
+import re
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from loomdex.catalog import Index, Locked
-from loomdex.sources.crawl import CrawlConfig, listed
+from loomdex.catalog import Index, Locked, Stopped
+from loomdex.sources.crawl import CrawlConfig, contents, ignored_count, listed
 from loomdex.sources.extractors import extract_py
 from loomdex.streaming.changes import apply_changes, coalesced, debounced, debounced_batch, queue_progress
 
@@ -74,6 +75,79 @@ def test_index_lifecycle(spark, folder, tmp_path):
     assert index.search("kind").total().first()[0] == 1
     assert all(x["success"] for x in index.maintain(vacuum=True)) and index.search("kind").total().first()[0] == 1
     assert index.recover()["recovered"] is False and index.migrate() == []
+    m = index.metadata()
+    assert m["total_indexing_runs"] == 3 and m["total_indexed_files"] == 2 and m["average_index_duration_ms"] == 0 and len(index.segments("files")) == 1
+    assert index.table("runs").count() == 3 and [r.status for r in index.recent_runs(1).collect()] == ["completed"]
+    assert index.file(str(folder / "a.txt"))["extension"] == ".txt" and index.files_by(extension=".txt").count() == 2 and index.files_by(author=None).count() == 0
+    assert index.update_file(str(folder / "a.txt"), author="Ada") and index.files_by(author="Ada").count() == 1 and not index.update_file("/none", author="x")
+    assert index.retry_failure(str(folder / "broken.docx")) == 0 and index.failures().first().retry_count >= 1
+    index.delete_failures(str(folder / "broken.docx"))
+    assert index.failures(True).count() == 0 and index.reconcile()["total_indexed_files"] == 2 and index.health_statistics()["health"] == "healthy"
+
+
+def test_one_changed_file_costs_one_file(spark, folder, tmp_path, monkeypatch):
+    from loomdex import catalog
+
+    index = Index(spark, f"file://{tmp_path}/index", clock=lambda: 1_735_689_600_000)
+    index.add_folder(str(folder))
+    (folder / "broken.docx").unlink()  # files that failed are tried at each run
+    index.start_indexing()
+    before = index.table("index_terms").collect()
+    read = []
+
+    def spy(*a, **kw):
+        d = contents(*a, **kw)
+        read.extend(d.inputFiles())
+        return d
+
+    monkeypatch.setattr(catalog, "contents", spy)
+    (folder / "a.txt").write_text("an altogether other schedule")
+    run = index.start_indexing()
+    assert run["files_indexed"] == 1 and [os.path.basename(p) for p in read] == ["a.txt"]
+    g = index.segments("files")[-1]
+    new = spark.read.parquet(f"{tmp_path}/index/gen={g:08d}/index_postings")
+    assert new.count() == 4 and spark.read.parquet(f"{tmp_path}/index/gen={g:08d}/texts").count() == 1
+    plan = index.search("schedule").ranked()._jdf.queryExecution().toString()
+    assert re.search(r"PushedFilters: \[[^\]]*(In|EqualTo)\(term,", plan)
+    terms = {r.term: r.document_frequency for r in index.table("index_terms").collect()}
+    assert terms["schedule"] == 1 and "week" not in terms and terms["backup"] == {r.term: r.document_frequency for r in before}["backup"] - 1
+    rows = {r["term"]: r.document_frequency for r in index.table("index_terms").collect()}
+    index.compact()
+    assert rows == {r["term"]: r.document_frequency for r in index.table("index_terms").collect()} and index.table("files").count() == 3 and index.verify().count() == 0
+    assert re.search(r"PushedFilters: \[[^\]]*(In|EqualTo)\(file_id,", index.search("schedule").with_snippets()._jdf.queryExecution().toString())
+
+
+def test_stop_schedule_and_start(spark, folder, tmp_path):
+    now = [1_735_689_600_000]
+    index = Index(spark, f"file://{tmp_path}/index", clock=lambda: now[0])
+    with pytest.raises(FileNotFoundError):
+        index.add_folder(str(folder / "none"))
+    with pytest.raises(NotADirectoryError):
+        index.add_folder(str(folder / "a.txt"))
+    index.add_folder(str(folder))
+    index.set_setting("indexingMode", "scheduled")
+    index.set_setting("scheduleInterval", "hourly")
+    assert not index.watches() and not index.syncs_at_start() and index.sync_due()
+    assert index.run_schedule()["status"] == "completed" and index.run_schedule() is None
+    now[0] += 3_600_000
+    assert index.sync_due()
+    first = index._log
+    index._log = lambda level, category, message: (index.stop_indexing() if "started" in message else None, first(level, category, message))
+    (folder / "new.txt").write_text("fresh")
+    with pytest.raises(Stopped):
+        index.start_indexing()
+    assert index.recent_runs(1).first().status == "failed" and not index.is_locked() and index.search("fresh").total().first()[0] == 0
+    index._log = first
+    index.set_setting("indexingMode", "startup")
+    index.commit({}, {"runs": index._rows("runs", [{"id": 9, "started_at": now[0], "status": "in_progress"}])}, status="indexing", last_run_id=9)
+    got = index.start()
+    assert got["recovery"] == {"interrupted_runs": 1, "partial_files": 0, "recovered": True} and got["issues"] == {} and got["run"]["files_indexed"] == 1
+    assert index.search("fresh").total().first()[0] == 1
+
+
+def test_ignored_folders_count_once(spark, folder):
+    (folder / "sub" / "node_modules" / "d.txt").write_text("ignored too")
+    assert ignored_count(spark, [str(folder)], CrawlConfig(rules=(("node_modules/", "folder"), ("a*", "glob")))) == 2
 
 
 def test_rules_settings_lock(spark, tmp_path):
