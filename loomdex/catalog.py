@@ -279,12 +279,15 @@ class Index:
         roots = [r["path"] for r in self.folders() if r["enabled"]]
         try:
             tasks = self._staged(tasks.select("path", "task").distinct(), stage, "tasks")
+            total = tasks.count()
+            self._progress(0, total, 0)
             wanted = tasks.filter("task = 'index'").select("path").distinct()
             new = contents(self.spark, roots, wanted, crawl) if roots else None
             append = self._removal(tasks)
             if new is None:
                 if append:
                     self.commit({}, append)
+                self._progress(total, total, 0)
                 return 0
             self._stop_if_asked()
             got = new.select("path", "size", "modified_time", "extension", F.sha2("content", 256).alias("content_hash")).join(extracted(new), "path")
@@ -305,7 +308,8 @@ class Index:
                 "index_terms": append["index_terms"].unionByName(terms) if append else terms,
             }
             self.commit(self._failures_after(got, wanted, now), append, analyzer=config.key())
-            n, bad = good.count(), got.count() - good.count()
+            n, bad = good.count(), got.filter("error is not null").count()
+            self._progress(total, total, n)
             self._log("info", "index", f"{n} files indexed, {bad} failed")
             return n
         finally:
@@ -365,6 +369,14 @@ class Index:
             self.files.delete(f"{self.path}/_stop")
             self.release()
 
+    def _progress(self, processed: int, total: int, indexed: int) -> None:
+        self.files.replace(f"{self.path}/_progress.json", json.dumps({"processed": processed, "total": total, "indexed_files": indexed, "percent": round(100 * processed / total) if total else 0}))
+
+    def progress(self) -> dict | None:
+        """Of the tasks that are or were last applied: processed, total, indexed_files, percent. Tasks of one change become valid together."""
+        p = f"{self.path}/_progress.json"
+        return json.loads(self.files.read(p)) if self.files.exists(p) else None
+
     def retry_failure(self, path: str) -> int:
         """Index one file that failed again; returns 1 if it worked now."""
         return self.apply_tasks(self.spark.createDataFrame([(path, "index")], "path string, task string"))

@@ -19,7 +19,7 @@ from loomdex.plans import search as S
 from loomdex.plans.filters import predicate
 from loomdex.plans.query import Phrase, parse
 from loomdex.session import NOW_MS, _file_system, spread, table, written
-from loomdex.streaming.changes import coalesced, debounced_batch
+from loomdex.streaming.changes import coalesced, debounced
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -456,7 +456,7 @@ s as (select ts, sum(new) over (order by ts) as flush from n), b as (select flus
 select flush_at, path, max((ts, event))[2] as event, count(*) as n_events from e join s using (ts) join b using (flush) group by flush_at, path""")
 def w2_debounce(spark, d):
     e = table(spark, d, "events").select("ts", F.concat(F.lit("/u/"), F.col("user_id").cast("string")).alias("path"), F.when(F.col("event_type") == "error", "delete").otherwise("index").alias("event"))
-    return debounced_batch(e, "60 seconds")
+    return debounced(e, "60 seconds")
 
 
 @query(f"select path, case when bool_or(event = 'index') then 'index' else 'delete' end as task from ({_EVENTS}) group by path")

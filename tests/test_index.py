@@ -3,6 +3,7 @@
 import datetime as dt
 import io
 import os
+import random
 import re
 import zipfile
 
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from loomdex.catalog import Index, Locked, Stopped
 from loomdex.sources.crawl import CrawlConfig, contents, ignored_count, listed
 from loomdex.sources.extractors import extract_py
-from loomdex.streaming.changes import apply_changes, coalesced, debounced, debounced_batch, queue_progress
+from loomdex.streaming import changes
+from loomdex.streaming.changes import Pending, Watcher, apply_changes, coalesced, debounced, queue_progress, watch
 
 
 def docx(text: str) -> bytes:
@@ -181,10 +183,63 @@ def events(spark):
     return spark.createDataFrame([(t0 + dt.timedelta(milliseconds=t), p, e) for t, p, e in EVENTS], "ts timestamp, path string, event string")
 
 
-def test_debounce(spark, events):
-    a, b = [sorted(map(tuple, f(events).collect())) for f in (debounced, debounced_batch)]
-    assert a == b and [(p, e, n) for _, p, e, n in a] == [("a", "delete", 2), ("b", "index", 1), ("a", "index", 2), ("c", "delete", 1)]
-    assert debounced_batch(events.limit(0)).count() == 0
+def plain_sessions(rows, quiet):
+    out, last = [], None
+    for t, p, e in sorted(r for r in rows if r[0] is not None):
+        if last is None or t - last >= quiet:
+            out.append({})
+        last = t
+        n = out[-1].get(p, (0, 0, 0))[2]
+        out[-1][p] = (t, e, n + 1)
+    return sorted((max(v[0] for v in s.values()) + quiet, p, e, n) for s in out for p, (_, e, n) in s.items())
+
+
+@pytest.mark.parametrize("chunk", [2, 10_000])
+def test_debounce(spark, events, monkeypatch, chunk):
+    monkeypatch.setattr(changes, "CHUNK", chunk)
+    got = sorted(map(tuple, debounced(events).collect()))
+    assert [(p, e, n) for _, p, e, n in got] == [("a", "delete", 2), ("b", "index", 1), ("a", "index", 2), ("c", "delete", 1)]
+    assert debounced(events.limit(0)).count() == 0
+    rng = random.Random(chunk)
+    rows = [(rng.randrange(0, 20000), rng.choice("abc"), rng.choice(["index", "delete"])) for _ in range(120)]
+    df = spark.createDataFrame(rows, "t long, path string, event string").select(F.timestamp_millis("t").alias("ts"), "path", "event").unionByName(spark.createDataFrame([(None, "a", "index")], changes.EVENTS))
+    got = sorted((r.x, r.path, r.event, r.n_events) for r in debounced(df).select(F.unix_millis("flush_at").alias("x"), "path", "event", "n_events").collect())
+    assert got == plain_sessions(rows, 300)
+
+
+def test_pending_flushes_equal_the_batch(spark, tmp_path):
+    rng = random.Random(6)
+    rows = sorted((rng.randrange(0, 9000), rng.choice("abc"), rng.choice(["index", "delete"])) for _ in range(40))
+    frame = lambda part: spark.createDataFrame(part, "t long, path string, event string").select(F.timestamp_millis("t").alias("ts"), "path", "event")
+    pending, seen = Pending(spark, f"file://{tmp_path}/p"), []
+    for i in range(4):
+        part = rows[i * 10 : i * 10 + 10]
+        first = sorted(map(tuple, pending.add(frame(part), i).collect()))
+        assert sorted(map(tuple, pending.add(frame(part), i).collect())) == first  # run again after a failure
+        seen += first
+    seen += map(tuple, pending.add(frame([(99999, "z", "index")]), 4).collect())
+    assert sorted(seen) == sorted((p, e, n) for _, p, e, n in plain_sessions(rows, 300))
+    assert [tuple(r) for r in pending.add(frame([(99999, "z", "index")]).limit(0), 5, now=2 * 10**8).collect()] == [("z", "index", 1)]
+
+
+def test_watcher_feeds_the_index(spark, folder, tmp_path):
+    now = [1_735_689_600_000]
+    index = Index(spark, f"file://{tmp_path}/index", clock=lambda: now[0])
+    index.add_folder(str(folder))
+    index.start_indexing()
+    w = Watcher(index, f"file://{tmp_path}/events")
+    assert w.poll() == 0 and w.poll() == 0
+    (folder / "a.txt").write_text("entirely fresh words")
+    (folder / "more.txt").write_text("further words")
+    assert w.poll() == 2
+    q = watch(index, f"file://{tmp_path}/events", f"{tmp_path}/cp", trigger={"availableNow": True}, clock=lambda: (now[0] + 1000) * 1000)
+    q.awaitTermination(120)
+    assert q.exception() is None and index.search("fresh").total().first()[0] == 1 and index.search("further").total().first()[0] == 1 and index.progress()["percent"] == 100
+    (folder / "sub" / "b.md").unlink()  # the last of its folder
+    called = []
+    assert w.poll(lambda: called.append(1)) == 0 and called == [1]
+    index.set_setting("indexingMode", "manual")
+    assert w.poll() == 0
 
 
 def test_queue(spark):
