@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,9 +57,61 @@ _HIN_MORE = frozenset("हो कर हुई हुए गया गई रह
 _FOREIGN = frozenset("der die das und ist nicht ein eine mit von für auf den dem zu sich le la les et est une des du que qui dans pour pas sur el los las y en es una por con para del ke ki hai mein ko ne aur ka se".split())
 
 
-def detect_language(text: Column) -> Column:
+#: Languages that the index stores; passages of at most so many labelled samples a language, and pieces of at most so many characters, make profiles.
+STORED, PROFILE_SAMPLES, LEAST_LETTERS = ("eng", "hin", "mar"), 400, 3
+
+
+class LanguageProfiles:
+    """How often each language writes which three characters in a row, from labelled passages; of bounded size.
+
+    A text is in the language that makes its trigrams likeliest; one of another language than STORED, or of none known here, has none.
+    """
+
+    def __init__(self, samples: list[tuple[str, str]]):
+        self.counts: dict[str, Counter] = {}
+        for language, text in samples:
+            self.counts.setdefault(language, Counter()).update(self._grams(text))
+        self.totals = {k: sum(c.values()) for k, c in self.counts.items()}
+        self.kinds = len({g for c in self.counts.values() for g in c}) or 1
+
+    @staticmethod
+    def _grams(text: str) -> list[str]:
+        words = re.sub(r"[\W\d_]+", " ", f" {normalise_py(_MATRAS.sub(_letter, text))} ")
+        return [words[i : i + 3] for i in range(len(words) - 2)]
+
+    def detect(self, text: str | None) -> str | None:
+        grams = self._grams((text or "")[:DETECT_CHARS])
+        if sum(c.isalpha() for g in grams for c in g[1]) < LEAST_LETTERS:
+            return None
+        known = sum(any(g in c for c in self.counts.values()) for g in grams)
+        if known < len(grams) / 3:
+            return None
+        score = {k: sum(math.log((c[g] + 0.5) / (self.totals[k] + 0.5 * self.kinds)) for g in grams) for k, c in self.counts.items()}
+        best = max(sorted(score), key=score.get)
+        return best if best in STORED else None
+
+
+#: Vowel signs of Devanagari count as letters here.
+_MATRAS = re.compile("[ऀ-ःऺ-़ा-ॏ॑-ॗॢॣ]")
+
+
+def _letter(m: re.Match) -> str:
+    return chr(0xE000 + ord(m[0]))
+
+
+def language_profiles(samples: DataFrame, language: str = "language", text: str = "text", most: int = PROFILE_SAMPLES) -> LanguageProfiles:
+    """Of at most `most` passages a language; each task keeps only so many before anything is shuffled. Null labels and texts are left out."""
+    rows = samples.select(F.col(language).alias("l"), F.col(text).alias("t")).filter("l is not null and t is not null")
+    first = Window.partitionBy("l").orderBy(F.xxhash64("t"), "t")
+    return LanguageProfiles(sorted((r.l, r.t) for r in rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= most).collect()))
+
+
+def detect_language(text: Column, profiles: LanguageProfiles | None = None) -> Column:
+    """'eng', 'hin', 'mar' or null by the first DETECT_CHARS characters: by profiles where samples are at hand, else by script and function words."""
+    detect = profiles.detect if profiles else detect_language_py
+
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([detect_language_py(t) for t in texts.to_pylist()], pa.string())
+        return pa.array([detect(t) for t in texts.to_pylist()], pa.string())
 
     return F.arrow_udf(run, T.StringType()).asNondeterministic()(F.substring(text, 1, DETECT_CHARS))
 

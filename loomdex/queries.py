@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.functions import values as V
-from loomdex.functions.analysis import STOP_WORDS, detect_language, is_stop_word, stem
+from loomdex.functions.analysis import STOP_WORDS, detect_language, is_stop_word, language_profiles, stem, stem_py
 from loomdex.functions.text import SEPARATOR, _tables, normalise
 from loomdex.operators import corpus as C
 from loomdex.operators import postings as P
@@ -146,7 +146,14 @@ def t5_stems(spark, d):
 
 @query()
 def t6_language(spark, d):
-    return table(spark, d, "documents").select("doc_id", detect_language(F.col("text")).alias("language"))
+    return spread(table(spark, d, "documents")).select("doc_id", detect_language(F.col("text"), language_profiles(table(spark, d, "lang_samples"))).alias("language"))
+
+
+# every second passage is judged by profiles of the others
+@query("select sample_id, case when language in ('eng', 'hin', 'mar') then language end as language from lang_samples where sample_id % 2 = 1")
+def t6_held_out(spark, d):
+    s = table(spark, d, "lang_samples")
+    return s.filter("sample_id % 2 = 1").select("sample_id", detect_language(F.col("text"), language_profiles(s.filter("sample_id % 2 = 0"))).alias("language"))
 
 
 WORDS = ["backup", "notes", "run", "कविता"]
@@ -228,9 +235,9 @@ def q_strict_not(spark, d):
     return _top(spark, d, "backup NOT schedule", semantics="strict")
 
 
-@query(_search_sql(["backup", "schedule"], [], "lv is not null and not (lv is not null)", False))
+@query(_search_sql(["backup"], [], "lv is not null and not regexp_matches(lower(path), '\\.pdf$')", False))
 def q_reference_not(spark, d):
-    return _top(spark, d, "backup NOT schedule")
+    return _top(spark, d, "backup NOT type:.PDF")
 
 
 @query(_search_sql(["report"], [["backup", "schedule"], ["the", "editor", "has"]], "len(ph0) > 0 or (lv is not null and len(ph1) > 0)", False))
@@ -306,6 +313,7 @@ def r1_idf(spark, d):
 
 _FILTERS = {
     "f_type": ("type:pdf", "coalesce(lower(coalesce(extension, regexp_extract(regexp_replace(path, '^.*[/\\\\]', ''), '^.+(\\.[^.]*)$', 1))) = '.pdf', false)"),
+    "f_dot": ("type:.pdf", "coalesce(lower(coalesce(extension, regexp_extract(regexp_replace(path, '^.*[/\\\\]', ''), '^.+(\\.[^.]*)$', 1))) = '.pdf', false)"),
     "f_folder": ("folder:projects", "coalesce(contains(lower(path), 'projects'), false)"),
     "f_before": ("before:2023-06-01", "coalesce(modified_time < 1685577600000, false)"),
     "f_after": ("after:2023-06-01", "coalesce(modified_time > 1685577600000, false)"),
@@ -475,11 +483,15 @@ def a10_average_durations(spark, d):
     return C.average_durations(r, "part")
 
 
-@query(f"""with r as (select o_custkey as id, count(*) as n, count(*) filter (o_orderstatus = 'F') as bad, max(epoch_ms(o_orderdate)) as t from orders group by 1)
-select id, case when bad / (n + bad) > 0.1 then 'error' when bad > 0 or {NOW_MS} - t > 86400000 then 'warning' else 'healthy' end as health from r""")
+# indexes of none to seven files a customer and of ninety-odd, with failures beside them; the share is of the files, and only where there are some
+@query(f"""with r as (select o_custkey as id, max(o_orderkey) % 3 as k, count(*) filter (o_orderstatus = 'O') as n, count(*) filter (o_orderstatus = 'F') as bad, max(epoch_ms(o_orderdate)) as t from orders group by 1),
+i as (select id, t, case k when 0 then n else n + 90 * (k - 1) end as n, bad from r)
+select id, n, bad, case when n > 0 and bad > 0.1 * n then 'error' when bad > 0 or {NOW_MS} - t > 86400000 then 'warning' else 'healthy' end as health from i""")
 def a14_health(spark, d):
-    r = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("bad"), F.max(F.unix_millis(F.col("o_orderdate").cast("timestamp"))).alias("t"))
-    return r.select("id", C.health(F.col("n"), F.col("bad"), F.lit(0), F.lit("indexed"), F.col("t"), NOW_MS).alias("health"))
+    o = F.col("o_orderstatus")
+    r = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg((F.max("o_orderkey") % 3).alias("k"), F.count_if(o == "O").alias("n"), F.count_if(o == "F").alias("bad"), F.max(F.unix_millis(F.col("o_orderdate").cast("timestamp"))).alias("t"))
+    r = r.withColumn("n", F.when(F.col("k") == 0, F.col("n")).otherwise(F.col("n") + 90 * (F.col("k") - 1)))
+    return r.select("id", "n", "bad", C.health(F.col("n"), F.col("bad"), F.lit(0), F.lit("indexed"), F.col("t"), NOW_MS).alias("health"))
 
 
 @query("select l_orderkey as id, l_linenumber as line, floor(cast(l_quantity as double) * (case l_linenumber % 3 when 0 then 1 when 1 then 1024 else 1048576 end) + 0.5) as bytes from lineitem")

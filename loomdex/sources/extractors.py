@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import html
 import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomdex.sources.pdf import read_pdf
+
 #: Extractors by extension (fixed values).
 EXTENSIONS = {".pdf": "pdf", ".docx": "docx", ".html": "html", ".htm": "html", ".md": "markdown", ".txt": "text"}
 EXTRACTORS = ("pdf", "docx", "html", "markdown", "text")
@@ -26,10 +29,31 @@ def clean(text: str) -> str:
     return re.sub("\r\n?", "\n", text).replace("\0", "").strip()
 
 
+#: Other spellings of dates than ISO, day and time apart (fixed values: common forms).
+_DAYS = ("%d %B %Y", "%d %b %Y", "%B %d %Y", "%b %d %Y", "%Y/%m/%d", "%m/%d/%Y", "%d.%m.%Y")
+_TIMES = ("", " %H:%M", " %H:%M:%S", " %I:%M %p", " %H:%M %z", " %H:%M:%S %z")
+
+
 def timestamp(value: str | None) -> int | None:
+    """Milliseconds of a date in ISO form, of a mail or web header, of a PDF, or written out in English; without a zone it is UTC. Else null."""
+    text = (value or "").strip()
+    d = None
     try:
-        d = datetime.fromisoformat((value or "").strip())
+        d = datetime.fromisoformat(text)
     except ValueError:
+        pdf = re.fullmatch(r"(?:D:)?(\d{4})(\d\d)?(\d\d)?(\d\d)?(\d\d)?(\d\d)?(?:Z|([-+]\d\d)'?(\d\d)?'?)?[Z0']*", text)
+        if pdf:
+            zone = timezone(timedelta(hours=int(pdf[7]), minutes=int(pdf[8] or 0) * (-1 if pdf[7][0] == "-" else 1))) if pdf[7] else timezone.utc
+            with contextlib.suppress(ValueError):
+                d = datetime(*[int(pdf[i] or least) for i, least in ((1, 1), (2, 1), (3, 1), (4, 0), (5, 0), (6, 0))], tzinfo=zone)
+        else:
+            plain = re.sub(r"^(?:mon|tue|wed|thu|fri|sat|sun)\w*\.?,?\s+", "", re.sub(r"\b(?:GMT|UTC|Z)\b", "+0000", text), flags=re.IGNORECASE)
+            plain = re.sub(r"\s+", " ", re.sub(r"(?<=\d)(?:st|nd|rd|th)\b|,", " ", plain)).strip()
+            for form in (a + b for a in _DAYS for b in _TIMES):
+                with contextlib.suppress(ValueError):
+                    d = datetime.strptime(plain, form)
+                    break
+    if d is None:
         return None
     return int((d if d.tzinfo else d.replace(tzinfo=timezone.utc)).timestamp() * 1000)
 
@@ -89,8 +113,13 @@ def from_docx(data: bytes) -> Extracted:
     return clean(text), (html.unescape(author[1]).strip() or None) if author else None, timestamp(made[1]) if made else None
 
 
-#: PDF needs a library that may be absent; set it to a function from bytes to (text, author, created_at).
-_FUNCTIONS: dict[str, Callable[[bytes], Extracted]] = {"text": from_text, "markdown": from_text, "html": from_html, "docx": from_docx}
+def from_pdf(data: bytes) -> Extracted:
+    text, info = read_pdf(data)
+    return clean(text), info.get("Author", "").strip() or None, timestamp(info.get("CreationDate"))
+
+
+#: By extractor, a function from bytes to (text, author, created_at); register() puts another in its place.
+_FUNCTIONS: dict[str, Callable[[bytes], Extracted]] = {"pdf": from_pdf, "text": from_text, "markdown": from_text, "html": from_html, "docx": from_docx}
 
 
 def register(name: str, function: Callable[[bytes], Extracted], extensions: tuple[str, ...] = ()) -> None:

@@ -26,7 +26,31 @@ def test_core_stands_without_the_subpackage():
     assert out.returncode == 0 and int(out.stdout) == len(registry.queries())
 
 
-@pytest.mark.parametrize("name", ["t2_postings", "q_any_word", "q_strict_phrase", "j7_phrase", "f1_filters", "w4_sync", "a11_integrity", "w2_debounce", "p2_term_counts", "p4_report"])
+def test_core_stands_without_what_the_subpackage_needs():
+    code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__ as e; q = e.queries(); print(len(q), 'p3_found' in q, set(e.oracle_sql()) <= set(q))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)
+    assert out.returncode == 0 and out.stdout.split() == [str(len(registry.queries())), "False", "True"]
+
+
+def test_no_local_folder_off_local_mode(spark):
+    from types import SimpleNamespace
+
+    from loomdex import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError):
+        session.shared_dir(SimpleNamespace(conf=Conf(), sparkContext=context))
+    with session.scratch(spark):
+        path = session.new_path(spark, "x")
+        spark.range(3).write.parquet(path)
+    assert not os.path.exists(path.removeprefix("file://")) and session.sweep(spark, 0) >= 0
+
+
+@pytest.mark.parametrize("name", ["t2_postings", "q_any_word", "q_strict_phrase", "j7_phrase", "f1_filters", "q_reference_not", "t6_held_out", "a14_health", "w4_sync", "a11_integrity", "w2_debounce", "p2_term_counts", "p4_report"])
 def test_queries_equal_their_sql(spark, data, name):
     import duckdb
 

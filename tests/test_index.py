@@ -6,13 +6,14 @@ import os
 import random
 import re
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomdex.catalog import Index, Locked, Stopped
 from loomdex.sources.crawl import CrawlConfig, contents, ignored_count, listed
-from loomdex.sources.extractors import extract_py
+from loomdex.sources.extractors import extract_py, timestamp
 from loomdex.streaming import changes
 from loomdex.streaming.changes import Pending, Watcher, apply_changes, coalesced, debounced, queue_progress, watch
 
@@ -34,6 +35,40 @@ def test_extractors():
     assert "corrupt" in extract_py(".docx", b"no zip")[3] and "Unsupported" in extract_py(".xyz", b"")[3] and extract_py(".txt", None)[0] == ""
 
 
+def pdf(packed: bool = False) -> bytes:
+    page = b"BT /F1 12 Tf 72 700 Td (Hello \\(wide\\) w\\157rld) Tj 0 -14 Td [(Sec) -20 (ond) -250 (line)] TJ T* /F2 12 Tf <00410042> Tj ET"
+    table = b"begincmap 1 begincodespacerange <0000> <ffff> endcodespacerange 1 beginbfchar <0041> <0915> endbfchar 1 beginbfrange <0042> <0043> <0916> endbfrange endcmap"
+    squeeze = lambda b: (zlib.compress(b), b" /Filter /FlateDecode") if packed else (b, b"")
+    out = [b"%PDF-1.4\n1 0 obj\n<< /Type /Page /Resources << /Font << /F1 3 0 R /F2 4 0 R >> >> /Contents 5 0 R >>\nendobj\n3 0 obj\n<< /Type /Font /BaseFont /Helvetica >>\nendobj\n4 0 obj\n<< /Type /Font /ToUnicode 6 0 R >>\nendobj\n"]
+    for number, content in ((5, page), (6, table)):
+        data, how = squeeze(content)
+        out.append(b"%d 0 obj\n<< /Length %d%s >>\nstream\n" % (number, len(data), how) + data + b"\nendstream\nendobj\n")
+    out.append(b"7 0 obj\n<< /Author (Ada \\(B.\\)) /CreationDate (D:20240101020000+02'00') >>\nendobj\ntrailer << /Info 7 0 R >>\n%%EOF")
+    return b"".join(out)
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_pdf(packed):
+    assert extract_py(".PDF", pdf(packed)) == ("Hello (wide) world\nSecond line\nकख", "Ada (B.)", 1704067200000, None)
+    assert "header" in extract_py(".pdf", b"nothing")[3] and "encrypted" in extract_py(".pdf", pdf().replace(b"/Info 7 0 R", b"/Encrypt 9 0 R"))[3]
+
+
+def test_dates():
+    for t in ("2024-01-01", "2024-01-01T00:00:00Z", "Mon, 01 Jan 2024 00:00:00 GMT", "January 1, 2024", "1 January 2024", "Jan 1st, 2024", "2024/01/01", "01/01/2024", "D:20240101000000Z", "D:20240101", "1 Jan 2024 01:00 +0100"):
+        assert timestamp(t) == 1704067200000, t
+    assert [timestamp(t) for t in (None, "", "soon", "32 January 2024", "D:20241399")] == [None] * 5
+
+
+def test_an_extractor_can_be_replaced():
+    from loomdex.sources import extractors
+
+    before = dict(extractors._FUNCTIONS), dict(extractors.EXTENSIONS)
+    extractors.register("upper", lambda b: (b.decode().upper(), None, None), (".up",))
+    assert extract_py(".up", b"x")[0] == "X"
+    extractors._FUNCTIONS.pop("upper"), extractors.EXTENSIONS.pop(".up")
+    assert before == (extractors._FUNCTIONS, extractors.EXTENSIONS)
+
+
 @pytest.fixture
 def folder(tmp_path):
     d = tmp_path / "docs"
