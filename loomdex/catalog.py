@@ -472,12 +472,7 @@ class Index:
 
     def files_by(self, **values: str | None) -> DataFrame:
         """Files whose language, author and extension equal the values given; a value of None fits none. Without values all files."""
-        d = self.table("files")
-        for name, value in values.items():
-            if name not in ("language", "author", "extension"):
-                raise ValueError(name)
-            d = d.filter(F.col(name) == F.lit(value).cast("string"))
-        return d
+        return corpus.by_metadata(self.table("files"), **values)
 
     def update_file(self, path: str, **values) -> bool:
         """Set columns of a file's row; its postings stay. Rewrites the table of files, which holds no texts. False if there is no such file."""

@@ -81,9 +81,9 @@ def sync_summary(tasks: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(files: DataFrame) -> DataFrame:
-    """(content_hash, n_files, total_size, wasted, paths): files that share a hash; null and empty hashes share nothing. Paths in order.
+    """(content_hash, n_files, total_size, wasted): files that share a hash; null and empty hashes share nothing. Sums are partial on the mappers.
 
-    The groups are counted first, with partial sums; only members of groups of two and more are listed.
+    duplicate_members() lists the files of the groups.
     """
     d = files.filter("content_hash is not null and content_hash != ''").select("content_hash", "path", "size")
     g = d.groupBy("content_hash").agg(F.count("*").alias("n_files"), F.sum("size").alias("total_size"), F.max("size").alias("m"))
@@ -91,9 +91,11 @@ def duplicate_groups(files: DataFrame) -> DataFrame:
 
 
 def duplicate_members(files: DataFrame) -> DataFrame:
-    """(content_hash, file_id, path): one row per member, so that a group of any size is no single value."""
+    """(content_hash, file_id, path): one row per member, so that a group of any size is no single value. Ordered by hash and path within the
+    partitions, which are ranges of both: read one after another the members of a group come in order of path, and a large group is several tasks."""
     d = files.filter("content_hash is not null and content_hash != ''").select("content_hash", "file_id", "path")
-    return d.join(duplicate_groups(files).select("content_hash"), "content_hash", "left_semi")
+    d = d.join(duplicate_groups(files).select("content_hash"), "content_hash", "left_semi")
+    return d.repartitionByRange("content_hash", "path").sortWithinPartitions("content_hash", "path")
 
 
 def wasted_total(files: DataFrame) -> DataFrame:
@@ -183,6 +185,15 @@ def under_folder(path: Column, folder: str, semantics: str = "strict") -> Column
     return path.ilike(prefix.replace("\\", "\\\\") + "%") if semantics == "reference" else F.startswith(path, F.lit(prefix))
 
 
+def by_metadata(files: DataFrame, **values: str | None) -> DataFrame:
+    """Files whose language, author and extension equal the values given; a value of None fits none. Without values all files."""
+    for name, value in values.items():
+        if name not in ("language", "author", "extension"):
+            raise ValueError(name)
+        files = files.filter(F.col(name) == F.lit(value).cast("string"))
+    return files
+
+
 def upsert_files(files: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of `new` in place of those with the same path."""
     return files.join(new.select("path").distinct(), "path", "left_anti").select(*files.columns).unionByName(new.select(*files.columns))

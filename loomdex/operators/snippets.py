@@ -6,7 +6,7 @@ import re
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,21 +26,31 @@ def _cut(text: str, begin: int, end: int) -> str:
     return ("…" if begin else "") + re.sub(r"\s+", " ", text[begin:end]).strip() + ("…" if end < len(text) else "")
 
 
+def hits_py(text: str, terms: list[str], phrase_starts: list[int] = ()) -> list[int]:
+    """Where the words of the text begin that are one of the terms, and those numbered in phrase_starts; in order."""
+    wanted, words = {normalise_py(t) for t in terms}, list(_WORD.finditer(text))
+    return sorted({m.start() for m in words if normalise_py(m[0]) in wanted} | {words[i].start() for i in phrase_starts if i < len(words)})
+
+
+def clusters_py(hits: list[int], gap: int = GAP) -> list[list[int]]:
+    """Runs of hits of which each is at most `gap` behind the one before it."""
+    out: list[list[int]] = []
+    for h in hits:
+        if out and h - out[-1][-1] <= gap:
+            out[-1].append(h)
+        else:
+            out.append([h])
+    return out
+
+
 def snippets_py(text: str | None, terms: list[str], phrase_starts: list[int] = (), most: int = MOST) -> list[str]:
     """Offsets are in code points. A text without hits gives its begin; a null or empty one gives none."""
     if not text:
         return []
-    wanted, words = {normalise_py(t) for t in terms}, list(_WORD.finditer(text))
-    hits = {m.start() for m in words if normalise_py(m[0]) in wanted} | {words[i].start() for i in phrase_starts if i < len(words)}
+    hits = hits_py(text, terms, phrase_starts)
     if not hits:
         return [_cut(text, 0, min(len(text), 2 * SIDE))]
-    clusters: list[list[int]] = []
-    for h in sorted(hits):
-        if clusters and h - clusters[-1][-1] <= GAP:
-            clusters[-1].append(h)
-        else:
-            clusters.append([h])
-    centres = [c[len(c) // 2] for c in clusters[:most]]
+    centres = [c[len(c) // 2] for c in clusters_py(hits)[:most]]
     return [_cut(text, max(0, c - SIDE), min(len(text), c + SIDE)) for c in centres]
 
 
@@ -78,9 +88,12 @@ def highlight(snippet: Column, phrase_terms: Column, terms: Column) -> Column:
     return F.arrow_udf(run, T.ArrayType(T.StructType.fromDDL("text string, type string")))(snippet, phrase_terms, terms)
 
 
-def hit_clusters(hits: DataFrame, key: str = "file_id", position: str = "pos", gap: int = GAP) -> DataFrame:
-    """(key, cluster, n_hits, first, last) of hit positions: a cluster ends where the next hit is more than `gap` away."""
-    d = hits.select(key, F.col(position).alias("p")).distinct()
-    d = d.withColumn("new", (F.col("p") - F.lag("p").over(Window.partitionBy(key).orderBy("p")) > gap).cast("int"))
-    d = d.withColumn("cluster", F.coalesce(F.sum("new").over(Window.partitionBy(key).orderBy("p")), F.lit(0)))
-    return d.groupBy(key, "cluster").agg(F.count("*").alias("n_hits"), F.min("p").alias("first"), F.max("p").alias("last"))
+def hit_clusters(text: Column, terms: Column) -> Column:
+    """Of each cluster of hits in a text its number of hits, the first and the last; those that snippets are made of."""
+    kind = pa.list_(pa.struct([("n_hits", pa.int32()), ("first", pa.int32()), ("last", pa.int32())]))
+
+    def run(t: pa.Array, w: pa.Array) -> pa.Array:
+        rows = ((a or "", b or []) for a, b in zip(t.to_pylist(), w.to_pylist()))
+        return pa.array([[{"n_hits": len(c), "first": c[0], "last": c[-1]} for c in clusters_py(hits_py(a, b))] for a, b in rows], kind)
+
+    return F.arrow_udf(run, T.ArrayType(T.StructType.fromDDL("n_hits int, first int, last int")))(text, terms)

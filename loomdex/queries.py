@@ -14,12 +14,13 @@ from loomdex.functions.analysis import STOP_WORDS, detect_language, is_stop_word
 from loomdex.functions.text import SEPARATOR, _tables, normalise
 from loomdex.operators import corpus as C
 from loomdex.operators import postings as P
-from loomdex.operators.snippets import GAP, highlight, hit_clusters
+from loomdex.operators.snippets import GAP, MOST, SIDE, highlight, hit_clusters
 from loomdex.plans import search as S
 from loomdex.plans.filters import predicate
 from loomdex.plans.query import Phrase, parse
 from loomdex.session import NOW_MS, _file_system, spread, table, written
-from loomdex.streaming.changes import coalesced, debounced
+from loomdex.sources.extractors import extracted
+from loomdex.streaming.changes import coalesced, debounced, queue_progress
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -283,9 +284,28 @@ def o5_suggestions(spark, d):
     return S.suggestions(search_index(spark, d).terms, "re")
 
 
-@query()
+# words of the texts as they stand with their offsets in code points; what Python takes for white space
+_WORD_SQL = "[\\p{L}\\p{N}\\p{M}]+"
+_BLANK_SQL = "\\s\\v\\x1c-\\x1f\\x85\\p{Z}"
+_OFFSETS = f"""
+pieces as (select doc_id as file_id, text, unnest(regexp_extract_all(text, '{_WORD_SQL}|[^\\p{{L}}\\p{{N}}\\p{{M}}]+')) as piece, generate_subscripts(regexp_extract_all(text, '{_WORD_SQL}|[^\\p{{L}}\\p{{N}}\\p{{M}}]+'), 1) as i from documents where {{where}}),
+spans as (select file_id, piece, i, cast(coalesce(sum(length(piece)) over (partition by file_id order by i rows between unbounded preceding and 1 preceding), 0) as bigint) as offs from pieces),
+found_words as (select file_id, offs, {_sql_text().replace('text', 'piece')} as word, row_number() over (partition by file_id order by i) - 1 as number from spans where regexp_matches(piece, '^{_WORD_SQL}$'))"""
+_CLUSTERS = f"""
+gaps as (select *, case when offs - lag(offs) over (partition by file_id order by offs) > {GAP} then 1 else 0 end as new from hits),
+runs as (select *, sum(new) over (partition by file_id order by offs rows unbounded preceding) as run from gaps)"""
+SNIPPETS = 'travel "backup schedule"'
+
+
+@query(f"""with {_TOKENS}, {_phrase_sql(PHRASE, 'h0')}, x as ({_search_sql(["travel"], [PHRASE], "lv is not null and len(ph0) > 0", False)}), {_OFFSETS.replace('{where}', 'doc_id in (select file_id from x)')},
+hits as (select distinct w.file_id, w.offs from found_words w join x using (file_id) join h0 using (file_id) where list_contains(x.matched_terms, w.word) or w.word = 'travel' or list_contains(h0.starts, cast(w.number as integer))), {_CLUSTERS},
+centres as (select file_id, run, list_sort(list(offs))[len(list(offs)) // 2 + 1] as c from runs where run < {MOST} group by file_id, run),
+sides as (select k.file_id, run, text, greatest(0, c - {SIDE}) as a, least(length(text), c + {SIDE}) as b from centres k join documents on doc_id = k.file_id),
+wide as (select *, a - length(regexp_extract(substr(text, 1, a), '[^{_BLANK_SQL}]*$')) as begins, b + length(regexp_extract(substr(text, b + 1), '^[^{_BLANK_SQL}]*')) as ends from sides),
+cuts as (select file_id, run, case when begins > 0 then '…' else '' end || trim(regexp_replace(substr(text, begins + 1, ends - begins), '[{_BLANK_SQL}]+', ' ', 'g')) || case when ends < length(text) then '…' else '' end as s from wide)
+select file_id, list(s order by run) as snippets from cuts group by file_id""")
 def n1_snippets(spark, d):
-    return S.Search(search_index(spark, d), 'travel "backup schedule"').with_snippets().select("file_id", "snippets")
+    return S.Search(search_index(spark, d), SNIPPETS).with_snippets().select("file_id", "snippets")
 
 
 @query()
@@ -294,13 +314,10 @@ def t15_highlight(spark, d):
     return best.select("file_id", F.explode("snippets").alias("s"), "phrase_terms", "matched_terms").select("file_id", highlight(F.col("s"), F.col("phrase_terms"), F.col("matched_terms")).alias("parts"))
 
 
-@query(f"""with {_TOKENS}, h as (select file_id, pos from w where term = 'backup'),
-g as (select *, case when pos - lag(pos) over (partition by file_id order by pos) > {GAP} then 1 else 0 end as new from h),
-k as (select *, sum(new) over (partition by file_id order by pos rows unbounded preceding) as cluster from g)
-select file_id, cast(cluster as bigint) as cluster, count(*) as n_hits, cast(min(pos) as integer) as first, cast(max(pos) as integer) as last from k group by file_id, cluster""")
+@query(f"""with {_OFFSETS.replace('{where}', 'text is not null')}, hits as (select file_id, offs from found_words where word = 'backup'), {_CLUSTERS}
+select file_id, cast(count(*) as integer) as n_hits, cast(min(offs) as integer) as first, cast(max(offs) as integer) as last from runs group by file_id, run""")
 def n4_clusters(spark, d):
-    hits = search_index(spark, d).postings.filter("term = 'backup'").select("file_id", F.explode("positions").alias("pos"))
-    return hit_clusters(hits)
+    return spread(corpus_texts(spark, d)).select("file_id", F.inline(hit_clusters(F.col("text"), F.array(F.lit("backup")))))
 
 
 @query(f"with {_TOKENS} select term, round(ln(1 + (n - document_frequency + 0.5) / (document_frequency + 0.5)), 9) as idf from t, (select count(*) as n from f)")
@@ -392,9 +409,23 @@ def j11_orphan_postings(spark, d):
     return C.orphan_postings(*[table(spark, d, t) for t in ("postings", "files", "terms")])
 
 
-@query("select file_id, path from files f where not exists (select 1 from postings p where p.file_id = f.file_id)")
+# the postings of every fiftieth file are lost
+@query("select file_id, path from files f where not exists (select 1 from postings p where p.file_id = f.file_id and p.file_id % 50 <> 0)")
 def j12_partial_files(spark, d):
-    return C.partial_files(table(spark, d, "files"), table(spark, d, "postings")).select("file_id", "path")
+    return C.partial_files(table(spark, d, "files"), table(spark, d, "postings").filter("file_id % 50 != 0")).select("file_id", "path")
+
+
+_SOUND = "exists (select 1 from files f where f.file_id = p.file_id) and exists (select 1 from terms t where t.term_id = p.term_id)"
+
+
+@query(f"select term_id, file_id, term_frequency, written_at from postings p where {_SOUND}")
+def j13_repaired_postings(spark, d):
+    return C.repaired(*[table(spark, d, t) for t in ("files", "terms", "postings")])[1].select("term_id", "file_id", "term_frequency", "written_at")
+
+
+@query(f"select term_id, term from terms where term_id in (select p.term_id from postings p where {_SOUND})")
+def j13_repaired_terms(spark, d):
+    return C.repaired(*[table(spark, d, t) for t in ("files", "terms", "postings")])[0].select("term_id", "term")
 
 
 @query("""select * from (
@@ -419,6 +450,17 @@ def w4_sync(spark, d):
     return C.sync_tasks(disk, f.select("path", "size", "modified_time"))
 
 
+@query(f"""with d as (select path, max((modified_time, size)) as v from ({_DISK}) group by path), k as (select path, max((modified_time, size)) as v from files group by path)
+select count(*) filter (d.path is not null) as to_index, count(*) filter (d.path is null) as to_delete from d full join k on d.path = k.path where d.v is distinct from k.v""")
+def a12_sync_summary(spark, d):
+    return C.sync_summary(w4_sync(spark, d))
+
+
+@query("select file_id, path, author from files where language = 'eng' and extension = '.pdf'")
+def f12_metadata(spark, d):
+    return C.by_metadata(table(spark, d, "files"), language="eng", extension=".pdf").select("file_id", "path", "author")
+
+
 @query("select file_id, path from files where starts_with(path, '/home/u/Documents/')")
 def k10_folder_files(spark, d):
     return table(spark, d, "files").filter(C.under_folder(F.col("path"), "/home/u/Documents")).select("file_id", "path")
@@ -441,6 +483,35 @@ def k3_delete(spark, d):
     return C.without_files(table(spark, d, "files"), table(spark, d, "postings"), table(spark, d, "deleted_files"))[1].select("term_id", "file_id", "term_frequency")
 
 
+# extraction: the texts as bytes of files
+
+_CLEAN = "regexp_replace(replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(0), ''), '^[{b}]+|[{b}]+$', '', 'g')"
+
+
+def _extracted(docs: DataFrame, extension: str, content) -> DataFrame:
+    d = docs.filter("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.lit(extension).alias("extension"), content.cast("binary").alias("content"))
+    return extracted(spread(d)).select(F.col("path").cast("long").alias("doc_id"), "text", "author", "created_at", "error")
+
+
+@query(f"select doc_id, {_CLEAN.format(b=_BLANK_SQL)} as text, cast(null as varchar) as author, cast(null as bigint) as created_at, cast(null as varchar) as error from documents where text is not null")
+def s5_markdown(spark, d):
+    return _extracted(table(spark, d, "documents"), ".md", F.col("text"))
+
+
+@query(f"select doc_id, {_CLEAN.format(b=_BLANK_SQL)} as text, 'Ada & Bo' as author, 1704067200000 as created_at, cast(null as varchar) as error from documents where text is not null")
+def s6_html(spark, d):
+    safe = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    head = "<html><head><title>t</title><meta name='author' content='Ada &amp; Bo'><meta name='date' content='2024-01-01'></head><body><nav>n</nav><script>var a = '</p>';</script><p>"
+    return _extracted(table(spark, d, "documents"), ".html", F.concat(F.lit(head), safe, F.lit("</p><style>p {}</style><footer>f</footer></body></html>")))
+
+
+@query("select doc_id, cast(null as varchar) as text, 'Invalid' as kind, 'corrupted' as category from documents where text is not null")
+def s8_broken_files(spark, d):
+    """Texts that say they are PDF: each is a failure of its own, none ends the job."""
+    e = _extracted(table(spark, d, "documents"), ".pdf", F.col("text"))
+    return e.select("doc_id", "text", F.substring("error", 1, 7).alias("kind"), V.failure_category(F.col("error")).alias("category"))
+
+
 # changes, failures and runs
 
 _MESSAGES = ["EACCES: permission denied", "file is Encrypted", "unable to deserialize xref", "resource busy or locked", "not supported", "something else"]
@@ -456,6 +527,12 @@ def k11_failures(spark, d):
     return C.failure_rows(e).withColumn("occurred_at", F.unix_millis(F.col("occurred_at").cast("timestamp")))
 
 
+@query(f"""with e as (select concat('/u/', cast(user_id as varchar(20))) as path, ts from events where event_type = 'error')
+select path, epoch_us(max(ts)) // 1000 as occurred_at from e group by path order by max(ts) desc, path limit 20""")
+def o4_recent_failures(spark, d):
+    return k11_failures(spark, d).orderBy(F.desc("occurred_at"), "path").limit(20).select("path", "occurred_at")
+
+
 _EVENTS = "select ts, concat('/u/', cast(user_id as varchar(20))) as path, case event_type when 'error' then 'delete' else 'index' end as event from events"
 
 
@@ -473,6 +550,12 @@ def w3_coalesce(spark, d):
     return coalesced(e)
 
 
+@query("""with t as (select value > 10 as done, event_type <> 'error' as ix from events)
+select count(*) filter (done) as processed, count(*) as total, count(*) filter (done and ix) as indexed_files, cast(floor(100.0 * count(*) filter (done) / count(*) + 0.5) as integer) as percent from t""")
+def w9_progress(spark, d):
+    return queue_progress(table(spark, d, "events").select((F.col("value") > 10).alias("done"), F.when(F.col("event_type") == "error", "delete").otherwise("index").alias("task")))
+
+
 _RUNS = "select o_orderkey as id, o_custkey as part, epoch_ms(o_orderdate) as completed_at, cast(floor(o_totalprice) as bigint) as duration_ms from orders"
 
 

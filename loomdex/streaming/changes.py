@@ -33,7 +33,7 @@ def micros(quiet: str) -> int:
 
 def _rows(events: DataFrame) -> DataFrame:
     """Events with a time, as rows that stand for n of them: of each slot and path the last, of equal times the one that comes last by name."""
-    return events.filter("ts is not null").select("path", "event", F.unix_micros("ts").alias("t"), F.lit(1).cast("long").alias("n"))
+    return events.filter("ts is not null").select("path", "event", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.lit(1).cast("long").alias("n"))
 
 
 def _slots(rows: DataFrame, width: int) -> DataFrame:
@@ -67,7 +67,7 @@ def debounced(events: DataFrame, quiet: str = QUIET) -> DataFrame:
     """
     width, rows = micros(quiet), _rows(events)
     d = _flushed(rows, _flushes(_slots(rows, width), width), width)
-    return d.select(F.timestamp_micros("flush_at").alias("flush_at"), "path", "event", F.col("n").alias("n_events"))
+    return d.select(F.timestamp_micros("flush_at").cast(events.schema["ts"].dataType).alias("flush_at"), "path", "event", F.col("n").alias("n_events"))
 
 
 class Pending:
