@@ -29,7 +29,7 @@ def survivors(df: DataFrame, group: str, record: str, fields: list[Field], stand
     Of each field the value comes from the record that is best in this order: it fills the field, its standing, its stamp, how many fields
     it fills, the greater id; a field that nobody fills is null. `record` is the one that wins the most filled fields; of equal ones the
     one of the greatest standing, then stamp, fields filled and id. If no field is filled at all, it is the best in that order.
-    carried: columns of the winner of `record`, fields like the others that any record fills. Rows with a null group or id belong to none.
+    carried: further columns, each of the record that is best in that order. Rows with a null group or id belong to none.
     Repeated rows count once. One aggregation, the maximum of a composite struct for each field, with partial results on the mappers: a
     group of any size arrives as one row per task. Result: group, record, fields, carried.
     """
@@ -41,11 +41,12 @@ def survivors(df: DataFrame, group: str, record: str, fields: list[Field], stand
     any_ = F.max(F.struct(F.lit(True).alias("h"), "_s", "_t", "_n", "_r")).alias("_any")
     own = [F.max(F.struct("_s", "_t", "_n", "_r", F.col(f"_c_{c}").alias("v"))).alias(f"_o_{c}") for c in carried]
     g = d.groupBy("_g").agg(F.min("_r").alias("_lo"), F.max("_r").alias("_hi"), any_, *best, *own).filter("_lo != _hi")
-    winners = F.array(F.col("_any"), *[F.struct(*[F.col(f"_b_{f.name}.{x}") for x in ("h", "_s", "_t", "_n", "_r")]) for f in fields])
+    winners = F.array(*[F.struct(*[F.col(f"_b_{f.name}.{x}") for x in ("h", "_s", "_t", "_n", "_r")]) for f in fields])
     g = g.withColumn("_w", F.filter(winners, lambda w: w["h"]))
     # fields won by a record: at most one winner a field, so the arrays are as short as the list of fields
     won = lambda r: F.size(F.filter("_w", lambda w: w["_r"] == r))
-    g = g.withColumn("_b", F.array_max(F.transform("_w", lambda w: F.struct(won(w["_r"]).alias("won"), w["_s"], w["_t"], w["_n"], w["_r"]))))
+    candidates = F.concat(F.array("_any"), F.col("_w"))
+    g = g.withColumn("_b", F.array_max(F.transform(candidates, lambda w: F.struct(won(w["_r"]).alias("won"), w["_s"], w["_t"], w["_n"], w["_r"]))))
     return g.select(F.col("_g").alias(group), F.col("_b._r").alias(record), *[F.col(f"_b_{f.name}.v").alias(f.name) for f in fields], *[F.col(f"_o_{c}.v").alias(c) for c in carried])
 
 

@@ -23,8 +23,13 @@ from pyspark.sql import functions as F
 
 from loomdex.session import written
 
-#: Where the public vocabulary files lie; a parameter everywhere.
-TOKENIZERS = "/opt/tokenizers"
+#: Where the public vocabulary files lie, unless an argument or the session's setting says otherwise.
+TOKENIZERS, SETTING = "/opt/tokenizers", "spark.loomdex.tokenizers"
+
+
+def vocabulary_folder(spark: SparkSession, folder: str | None = None) -> str:
+    return folder or spark.conf.get(SETTING, None) or TOKENIZERS
+
 
 #: How the vocabulary cuts a text into pre-tokens (fixed value, published with the vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -143,16 +148,16 @@ def _reassemble(id_type: pa.DataType, id_name: str):
                 before = np.concatenate([[0], np.cumsum(n)])  # ids before each word
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
                 ids = b.column("ids")[r].values.cast(id_type)
-                # some documents at a time, so that no batch outgrows the 2 GB of an Arrow list
+                # a block is a batch: its size is bounded by `block_words` and one text
                 yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(before[ends].astype(np.int32)), pa.array(values.astype(np.int32)))], [id_name, "ids"])
 
     return run
 
 
-def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = TOKENIZERS, name: str = "byte_bpe_50k", block_words: int = BLOCK_WORDS) -> DataFrame:
+def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, name: str = "byte_bpe_50k", block_words: int = BLOCK_WORDS) -> DataFrame:
     """(id, ids array<int>) of every row, without special tokens; their strings in a text are ordinary text.
 
-    Null and empty texts have an empty list. Repeated ids and texts give a row each; a null id stays null. Other columns aren't read,
+    The blocks are written when this is called. Null and empty texts have an empty list. Repeated ids and texts give a row each; a null id stays null. Other columns aren't read,
     so their names don't matter. An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -165,7 +170,7 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         d = d.withColumn("id", F.col("id").cast("string"))
     sql = "bigint" if id_type == pa.int64() else "string"
     blocks = written(d.mapInArrow(_blocks(block_words, id_type), f"block long, ids array<{sql}>, sizes array<int>, codes binary, words array<string>"), "blocks")
-    vocabulary = spark.sparkContext.broadcast(Vocabulary(folder, name))  # about 1 MB whatever the corpus
+    vocabulary = spark.sparkContext.broadcast(Vocabulary(vocabulary_folder(spark, folder), name))  # about 1 MB whatever the corpus
     held = blocks.select("block", F.posexplode("words").alias("at", "word"))
     dictionary = held.select("word").distinct().mapInArrow(_encode_words(vocabulary), "word string, word_ids array<int>")
     joined = held.join(dictionary, "word").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "word_ids"))).alias("dictionary"))
@@ -173,10 +178,11 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return whole.mapInArrow(_reassemble(id_type, id_col), f"`{id_col}` {sql}, ids array<int>").withColumn(id_col, F.col(id_col).cast(id_sql))
 
 
-def decode_corpus(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", folder: str = TOKENIZERS, name: str = "byte_bpe_50k", text_col: str = "text") -> DataFrame:
-    """(id, text) of lists of ids: each id is joined to the bytes of its token. An empty list gives an empty text, null gives null."""
+def decode_corpus(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", folder: str | None = None, name: str = "byte_bpe_50k", text_col: str = "text") -> DataFrame:
+    """(id, text) of lists of ids: each id is joined with the token-byte table, about 1 MB, which every worker holds as an array by id. An empty
+    list gives an empty text, null gives null."""
     spark = encoded.sparkSession
-    vocabulary = spark.sparkContext.broadcast(Vocabulary(folder, name))
+    vocabulary = spark.sparkContext.broadcast(Vocabulary(vocabulary_folder(spark, folder), name))
     id_sql = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,10 +202,10 @@ def decode_corpus(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "id
     return encoded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {id_sql}, `{text_col}` string")
 
 
-def count_tokens(docs: DataFrame, keep: list[str], text_col: str = "text", folder: str = TOKENIZERS, name: str = "byte_bpe_50k", memo: int = 500_000) -> DataFrame:
+def count_tokens(docs: DataFrame, keep: list[str], text_col: str = "text", folder: str | None = None, name: str = "byte_bpe_50k", memo: int = 500_000) -> DataFrame:
     """The columns `keep` and n_tokens of each row; null and empty texts have none. Each worker keeps the sizes of words it has met."""
     spark = docs.sparkSession
-    vocabulary = spark.sparkContext.broadcast(Vocabulary(folder, name))
+    vocabulary = spark.sparkContext.broadcast(Vocabulary(vocabulary_folder(spark, folder), name))
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -118,7 +118,9 @@ def test_survivors_field_by_field(spark):
         (None, "/home/c", now, now, "eng", h, None, None, None), (5, None, None, None, None, None, None, None, None),
     ]
     got = [r.asDict() for r in survivorship.surviving_files(spark.createDataFrame(rows, F_DDL)).collect()]
-    assert got == [{"content_hash": h, "file_id": 1, "language": "eng", "author": "Ada", "created_at": 7, "extension": ".txt", "path": "/tmp/a.txt", "modified_time": now}]
+    assert got == [{"content_hash": h, "file_id": 2, "language": "eng", "author": "Ada", "created_at": 7, "extension": ".txt", "path": "/home/a.txt", "modified_time": now - 5}]
+    bare = [(i, f"/tmp/{i}", now - i, now, None, h, None, None, None) for i in (1, 2)]  # nothing filled: the later one
+    assert [r.file_id for r in survivorship.surviving_files(spark.createDataFrame(bare, F_DDL).withColumn("_g", F.lit("clash"))).collect()] == [1]
     assert survivorship.surviving_files(spark.createDataFrame([], F_DDL)).count() == 0
 
 
