@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomdex.catalog import Index
 from loomdex.functions import values as V
 from loomdex.functions.analysis import STOP_WORDS, detect_language, is_stop_word, language_profiles, stem, stem_py
 from loomdex.functions.text import SEPARATOR, _tables, normalise
@@ -18,7 +19,7 @@ from loomdex.operators.snippets import GAP, MOST, SIDE, highlight, hit_clusters
 from loomdex.plans import search as S
 from loomdex.plans.filters import predicate
 from loomdex.plans.query import Phrase, parse
-from loomdex.session import NOW_MS, _file_system, spread, table, written
+from loomdex.session import NOW_MS, _file_system, new_path, spread, table, written
 from loomdex.sources.extractors import extracted
 from loomdex.streaming.changes import coalesced, debounced, queue_progress
 
@@ -73,12 +74,17 @@ def corpus_postings(spark: SparkSession, d: str) -> DataFrame:
 _built: dict[tuple, S.SearchIndex] = {}
 
 
-def search_index(spark: SparkSession, d: str) -> S.SearchIndex:
-    """The index of a folder's documents, written once a session for each state of the table's files."""
+def _state(spark: SparkSession, d: str) -> tuple:
+    """The session, the folder, and the files of its documents."""
     fs, path = _file_system(spark, f"{d}/documents.parquet")
     status = fs.getFileStatus(path)
     parts = fs.listStatus(path) if status.isDirectory() else [status]
-    key = (spark.sparkContext.applicationId, d, *sorted((x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in parts))
+    return (spark.sparkContext.applicationId, d, *sorted((x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in parts))
+
+
+def search_index(spark: SparkSession, d: str) -> S.SearchIndex:
+    """The index of a folder's documents, written once a session for each state of the table's files."""
+    key = _state(spark, d)
     if key not in _built:
         files, texts = corpus_files(spark, d), corpus_texts(spark, d)
         postings = written(P.by_term(corpus_postings(spark, d)), "postings")
@@ -512,6 +518,69 @@ def s8_broken_files(spark, d):
     return e.select("doc_id", "text", F.substring("error", 1, 7).alias("kind"), V.failure_category(F.col("error")).alias("category"))
 
 
+# an index on disk: the documents as a folder of files
+
+
+def _on_disk(spark: SparkSession, d: str) -> tuple[Index, str]:
+    home = new_path(spark, "catalog")
+    _write_files(table(spark, d, "documents"), f"{home}/files")
+    index = Index(spark, f"{home}/index", clock=lambda: NOW_MS)
+    index.add_folder(f"{home}/files")
+    index.start_indexing()
+    return index, f"{home}/files"
+
+
+_disk: dict[tuple, tuple[Index, str]] = {}
+
+
+def _kept_on_disk(spark: SparkSession, d: str) -> tuple[Index, str]:
+    """Written once a session for each state of the table's files; for queries that leave it as it was."""
+    key = _state(spark, d)
+    if key not in _disk:
+        _disk[key] = _on_disk(spark, d)
+    return _disk[key]
+
+
+def _write_files(docs: DataFrame, folder: str) -> None:
+    docs.select(F.col("text").alias("value"), "doc_id").write.mode("append").partitionBy("doc_id").text(folder)
+
+
+def _doc_id():
+    return F.regexp_extract("path", r"doc_id=(\d+)/", 1).cast("long").alias("doc_id")
+
+
+@query(f"with {_TOKENS} select file_id as doc_id, cast(doc_length as integer) as doc_length, '.txt' as extension from f")
+def c9_indexed(spark, d):
+    return _kept_on_disk(spark, d)[0].table("files").select(_doc_id(), "doc_length", "extension")
+
+
+@query(f"""with {_TOKENS}, q as (select term, count(*) as document_frequency from p where file_id % 10 <> 0 and file_id % 7 <> 0 group by term)
+select term, document_frequency + (select count(*) from documents where doc_id % 10 <> 0 and doc_id % 7 = 0) * (term = 'rewritten')::int as document_frequency from (select * from q where term <> 'rewritten' union all select 'rewritten', coalesce((select document_frequency from q where term = 'rewritten'), 0))""")
+def c9_resynced(spark, d):
+    """Every tenth file is deleted and every seventh rewritten before the second run; terms come from both runs' segments."""
+    index, folder = _on_disk(spark, d)
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    for r in docs.filter("doc_id % 10 = 0 or doc_id % 7 = 0").select("doc_id").toLocalIterator():
+        index.files.delete(f"{folder}/doc_id={r[0]}")
+    _write_files(docs.filter("doc_id % 10 != 0 and doc_id % 7 = 0").withColumn("text", F.lit("rewritten")), folder)
+    index.start_indexing()
+    return index.table("index_terms")
+
+
+@query(f"with {_TOKENS} select 'index_terms' as name, count(*) as n from t union all select 'index_postings', count(*) from p union all select 'files', count(*) from f union all select 'terms', count(*) from t union all select 'postings', count(*) from p union all select 'healthy', 0")
+def k18_restored(spark, d):
+    """Exported, deleted, and imported again; beside its own tables the backup has terms and postings by id, and the index verifies."""
+    index, folder = _kept_on_disk(spark, d)
+    backup = f"{folder}-backup"
+    index.export_backup(backup)
+    index.delete_index()
+    index.import_backup(backup)
+    n = {t: index.table(t).count() for t in ("index_terms", "index_postings", "files")} | {t: spark.read.parquet(f"{backup}/{t}").count() for t in ("terms", "postings")}
+    # files without words have no postings; nothing else may be found
+    n["healthy"] = index.verify().filter("type != 'missing_file'").count()
+    return spark.createDataFrame(list(n.items()), "name string, n long")
+
+
 # changes, failures and runs
 
 _MESSAGES = ["EACCES: permission denied", "file is Encrypted", "unable to deserialize xref", "resource busy or locked", "not supported", "something else"]
