@@ -34,12 +34,12 @@ LEVEL, STRATEGY, MIN_MATCH = 9, zstandard.STRATEGY_LAZY2, 4
 PAD = bytes(range(0x90, 0xB0))
 #: A sentence has a language only if the next best size is larger by so many bytes, and by this share of what can be saved. (The constants
 #: were chosen by everyday text whose subject was held out of the dictionaries, and by texts that are in none of the languages.)
-LEAST_MARGIN, LEAST_CONFIDENCE = 2, 0.06
+LEAST_MARGIN, LEAST_CONFIDENCE = 2, 0.05
 #: A sentence whose margin is of fewer bytes is weak: among others it takes their language if its own sizes allow, and a weak sentence alone doesn't
 #: make a text one in its language.
 WEAK = 6
 #: A sentence that no dictionary makes smaller than this share of its letters is in none of the languages.
-MOST_LEFT = 0.95
+MOST_LEFT = 1.0
 #: An undecided sentence is compressed with so many neighbours on each side, one step after the other; a decision so made has this share of its confidence.
 REACHES, CONTEXT_SHARE = (1, 3), 0.5
 #: Decisions that a worker remembers.
