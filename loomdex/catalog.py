@@ -35,6 +35,8 @@ SETTINGS = {
 }
 #: Settings that make indexed texts stale.
 REBUILDING = {"removeStopWords", "enableLanguageDetection", "indexMetadata", "enabledExtractors"}
+#: Settings that turn logs on and off, by category.
+LOG_SETTINGS = {"enableIndexLogging": "index", "enableWatcherLogging": "watcher", "enableErrorLogging": "error", "enableDebugLogging": "debug"}
 LOCK_MS, SCHEMA_VERSION = 300_000, 2
 #: Modes of indexing and times between scheduled runs (fixed values).
 MODES, INTERVALS_MS = ("immediate", "startup", "scheduled", "manual"), {"hourly": 3600_000, "daily": 24 * 3600_000}
@@ -142,6 +144,9 @@ class Index:
         """Returns whether the index has to be built again; unchanged files are then not skipped."""
         now = {r["key"]: r["value"] for r in self._small("settings")} | {key: value}
         self.commit({"settings": self._rows("settings", [{"key": k, "value": v} for k, v in now.items()])})
+        if key in LOG_SETTINGS and self.logs:
+            s = self.settings()
+            self.logs.set_enabled(tuple(c for k, c in LOG_SETTINGS.items() if s[k].lower() in ("1", "true")))
         return key in REBUILDING
 
     def add_folder(self, path: str) -> dict:
@@ -239,7 +244,9 @@ class Index:
     # indexing
 
     def analyzer(self) -> AnalyzerConfig:
-        return AnalyzerConfig(self.flag("removeStopWords"), self.flag("enableLanguageDetection"), self.flag("enableStemming"), self.flag("indexMetadata"))
+        s = self.settings()
+        on = [s.get(k, "").lower() in ("1", "true") for k in ("removeStopWords", "enableLanguageDetection", "enableStemming", "indexMetadata")]
+        return AnalyzerConfig(*on)
 
     def crawl_config(self) -> CrawlConfig:
         s = self.settings()

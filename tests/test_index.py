@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomdex.catalog import Index, Locked, Stopped
+from loomdex.log import Logs
 from loomdex.sources.crawl import CrawlConfig, contents, ignored_count, listed
 from loomdex.sources.extractors import extract_py, timestamp
 from loomdex.streaming import changes
@@ -156,7 +157,7 @@ def test_one_changed_file_costs_one_file(spark, folder, tmp_path, monkeypatch):
 
 def test_stop_schedule_and_start(spark, folder, tmp_path):
     now = [1_735_689_600_000]
-    index = Index(spark, f"file://{tmp_path}/index", clock=lambda: now[0])
+    index = Index(spark, f"file://{tmp_path}/index", clock=lambda: now[0], logs=Logs(str(tmp_path / "logs")))
     with pytest.raises(FileNotFoundError):
         index.add_folder(str(folder / "none"))
     with pytest.raises(NotADirectoryError):
@@ -166,6 +167,9 @@ def test_stop_schedule_and_start(spark, folder, tmp_path):
     index.set_setting("scheduleInterval", "hourly")
     assert not index.watches() and not index.syncs_at_start() and index.sync_due()
     assert index.run_schedule()["status"] == "completed" and index.run_schedule() is None
+    assert "run 1 started (scheduled)" in (tmp_path / "logs" / "index.log").read_text()
+    index.set_setting("enableIndexLogging", "false")
+    assert index.logs.enabled == ("watcher", "error")
     now[0] += 3_600_000
     assert index.sync_due()
     first = index._log
