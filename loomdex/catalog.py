@@ -297,7 +297,7 @@ class Index:
                 self._progress(total, total, 0)
                 return 0
             self._stop_if_asked()
-            got = new.select("path", "size", "modified_time", "extension", F.sha2("content", 256).alias("content_hash")).join(extracted(new), "path")
+            got = extracted(new, ("size", "modified_time", "extension"), hashed=True)
             # written once: extraction is not repeated for each table that is made of it. The generation makes the ids of a path differ
             got = self._staged(got.withColumn("file_id", F.xxhash64("path", F.lit(self.manifest()["generation"]))), stage, "files")
             good = got.filter("error is null")

@@ -28,6 +28,11 @@ class HadoopFiles:
         self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self._fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    @property
+    def mounted(self) -> bool:
+        """Whether paths are those of a disk that every process can open."""
+        return self._fs.getUri().getScheme() == "file"
+
     def exists(self, p: str) -> bool:
         return self._fs.exists(self._path(p))
 

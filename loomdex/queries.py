@@ -6,6 +6,9 @@ run over `files`, `terms`, `postings`, and those about changes over `events`.
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ from loomdex.functions.analysis import STOP_WORDS, detect_language, is_stop_word
 from loomdex.functions.text import SEPARATOR, _tables, normalise
 from loomdex.operators import corpus as C
 from loomdex.operators import postings as P
+from loomdex.operators.signed_counts import HadoopFiles
 from loomdex.operators.snippets import GAP, MOST, SIDE, highlight, hit_clusters
 from loomdex.plans import search as S
 from loomdex.plans.filters import predicate
@@ -542,11 +546,31 @@ def _kept_on_disk(spark: SparkSession, d: str) -> tuple[Index, str]:
 
 
 def _write_files(docs: DataFrame, folder: str) -> None:
-    docs.select(F.col("text").alias("value"), "doc_id").write.mode("append").partitionBy("doc_id").text(folder)
+    """A file a document, as Spark's text writer has it, with a line feed at the end. Mounted folders get a subfolder for a thousand ids."""
+    if not HadoopFiles(docs.sparkSession, folder).mounted:
+        docs.select(F.col("text").alias("value"), "doc_id").write.mode("append").partitionBy("doc_id").text(folder)
+        return
+    home = re.sub("^file:/+", "/", folder)
+    os.makedirs(home, exist_ok=True)
+
+    def run(batches):
+        for b in batches:
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                path = f"{home}/{k // 1000}/doc_id={k}.txt"
+                try:
+                    f = open(path, "wb")
+                except FileNotFoundError:
+                    os.makedirs(os.path.dirname(path), exist_ok=True)
+                    f = open(path, "wb")
+                with f:
+                    f.write((t or "").encode() + b"\n")
+            yield b.select([0])
+
+    spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long").write.format("noop").mode("overwrite").save()
 
 
 def _doc_id():
-    return F.regexp_extract("path", r"doc_id=(\d+)/", 1).cast("long").alias("doc_id")
+    return F.regexp_extract("path", r"doc_id=(-?\d+)[./]", 1).cast("long").alias("doc_id")
 
 
 @query(f"with {_TOKENS} select file_id as doc_id, cast(doc_length as integer) as doc_length, '.txt' as extension from f")

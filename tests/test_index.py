@@ -90,6 +90,49 @@ def test_crawl(spark, folder):
     assert names(CrawlConfig(enabled=("text",), rules=(("b*", "glob"),), skip_hidden=False)) == ["a.txt", "c.txt"]
 
 
+def test_a_walk_lists_what_the_source_lists(spark, folder, tmp_path):
+    from loomdex.sources.crawl import _source
+
+    for name in ("_left/x.txt", ".out/x.txt", "k=1/_m=2/x.txt", "k=1/a b%20é.txt", "deep/er/still/x.txt", "x._COPYING_"):
+        (folder / name).parent.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_text(name)
+    (folder / "link.txt").symlink_to(folder / "a.txt")
+    (folder / "nowhere.txt").symlink_to(folder / "none")
+    (folder / "far").symlink_to(tmp_path / "far")
+    (tmp_path / "far").mkdir()
+    (tmp_path / "far" / "y.txt").write_text("y")
+    roots = [f"file://{folder}", str(folder / "sub")]
+    want = _source(spark).load(roots).select(F.regexp_replace("path", "^file:/+", "/"), "length", F.unix_millis("modificationTime"))
+    got = listed(spark, roots, CrawlConfig(enabled=("text", "markdown", "docx"))).select("path", "size", "modified_time")
+    want = sorted(tuple(r) for r in want.collect() if not r[0].endswith(".bin"))
+    assert len(want) == 10 and sorted(map(tuple, got.collect())) == want
+
+
+def test_many_files_are_few_tasks(spark, tmp_path, monkeypatch):
+    from loomdex.sources import crawl, extractors
+
+    monkeypatch.setattr(crawl, "NAMED_MOUNTED", 20)
+    d = tmp_path / "many"
+    for i in range(100):
+        (d / f"k={i % 5}").mkdir(parents=True, exist_ok=True)
+        (d / f"k={i % 5}" / f"{i}.txt").write_text(f"number w{i}")
+    names = [str(p) for p in d.rglob("*.txt")]
+    (d / "k=0" / "0.txt").unlink()
+    (tmp_path / "out.txt").write_text("outside")
+    wanted = spark.createDataFrame([(p,) for p in [*names, names[0], str(tmp_path / "out.txt"), None]], "path string")
+    new = contents(spark, [str(d)], wanted)
+    assert new.rdd.getNumPartitions() <= 4 and listed(spark, [str(d)]).rdd.getNumPartitions() <= 16
+    got = {os.path.basename(r.path): r for r in extractors.extracted(new, ("size",), hashed=True).collect()}
+    assert len(got) == 99 and all(r.error is None and r.text == f"number w{n[:-4]}" and r.size == len(r.text) and len(r.content_hash) == 64 for n, r in got.items())
+    index = Index(spark, f"file://{tmp_path}/index", clock=lambda: 1_735_689_600_000)
+    index.add_folder(str(d))
+    assert index.start_indexing()["files_indexed"] == 99
+    (d / "k=1" / "1.txt").write_text("other")
+    for i in range(2, 100, 2):
+        (d / f"k={i % 5}" / f"{i}.txt").unlink()
+    assert index.start_indexing()["files_indexed"] == 1 and index.table("files").count() == 50 and index.verify().count() == 0
+
+
 def test_index_lifecycle(spark, folder, tmp_path):
     now = [1_735_689_600_000]
     index = Index(spark, f"file://{tmp_path}/index", clock=lambda: now[0])
