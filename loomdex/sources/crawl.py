@@ -175,7 +175,7 @@ def listed(spark: SparkSession, roots: list[str], config: CrawlConfig = CrawlCon
 
 
 #: Files that are named to the source one by one, of mounted folders and of others; of more, mounted files are opened where their rows are, and other folders read whole.
-NAMED_MOUNTED, NAMED_PATHS = 500, 20_000
+NAMED_MOUNTED, NAMED_PATHS = 32, 20_000
 
 
 def contents(spark: SparkSession, roots: list[str], wanted: DataFrame, config: CrawlConfig = CrawlConfig()) -> DataFrame | None:

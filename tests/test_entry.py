@@ -63,3 +63,28 @@ def test_queries_equal_their_sql(spark, data, name):
     want = db.sql(registry.oracle_sql()[name])
     at = [want.columns.index(c) for c in cols]
     assert sorted(map(str, ([plain(r[c]) for c in cols] for r in df.collect()))) == sorted(map(str, ([plain(r[i]) for i in at] for r in want.fetchall())))
+
+
+def same_as_sql(spark, data, name):
+    import duckdb
+
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from '{data}/documents.parquet'")
+    df = registry.queries()[name](spark, data)
+    want = db.sql(registry.oracle_sql()[name])
+    return sorted(map(tuple, df.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_restored_has_no_task_a_file(spark, data):
+    from loomdex import queries
+
+    queries._disk.clear()
+    spark.sparkContext.setJobGroup("restored", "")
+    try:
+        assert same_as_sql(spark, data, "k18_restored")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    t = spark.sparkContext.statusTracker()
+    stages = [t.getStageInfo(s) for j in t.getJobIdsForGroup("restored") for s in t.getJobInfo(j).stageIds]
+    # 100 documents; a folder or file each would be as many tasks
+    assert stages and max(s.numTasks for s in stages if s) <= 40
