@@ -6,6 +6,7 @@ run over `files`, `terms`, `postings`, and those about changes over `events`.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 
@@ -569,6 +570,24 @@ def _write_files(docs: DataFrame, folder: str) -> None:
     spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long").write.format("noop").mode("overwrite").save()
 
 
+def _delete_files(docs: DataFrame, folder: str, files: HadoopFiles) -> None:
+    """The files of documents that _write_files made; those of mounted folders where the rows are."""
+    if not files.mounted:
+        for r in docs.select("doc_id").toLocalIterator():
+            files.delete(f"{folder}/doc_id={r[0]}")
+        return
+    home = re.sub("^file:/+", "/", folder)
+
+    def run(batches):
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                with contextlib.suppress(FileNotFoundError):
+                    os.remove(f"{home}/{k // 1000}/doc_id={k}.txt")
+            yield b
+
+    docs.select("doc_id").mapInArrow(run, "doc_id long").write.format("noop").mode("overwrite").save()
+
+
 def _doc_id():
     return F.regexp_extract("path", r"doc_id=(-?\d+)[./]", 1).cast("long").alias("doc_id")
 
@@ -584,8 +603,7 @@ def c9_resynced(spark, d):
     """Every tenth file is deleted and every seventh rewritten before the second run; terms come from both runs' segments."""
     index, folder = _on_disk(spark, d)
     docs = table(spark, d, "documents").select("doc_id", "text")
-    for r in docs.filter("doc_id % 10 = 0 or doc_id % 7 = 0").select("doc_id").toLocalIterator():
-        index.files.delete(f"{folder}/doc_id={r[0]}")
+    _delete_files(docs.filter("doc_id % 10 = 0 or doc_id % 7 = 0"), folder, index.files)
     _write_files(docs.filter("doc_id % 10 != 0 and doc_id % 7 = 0").withColumn("text", F.lit("rewritten")), folder)
     index.start_indexing()
     return index.table("index_terms")

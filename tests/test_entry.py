@@ -75,6 +75,15 @@ def same_as_sql(spark, data, name):
     return sorted(map(tuple, df.select(*want.columns).collect())) == sorted(want.fetchall())
 
 
+def test_resynced_files_are_deleted_where_the_rows_are(spark, data, monkeypatch):
+    from loomdex.operators.signed_counts import HadoopFiles
+
+    gone = []
+    delete = HadoopFiles.delete
+    monkeypatch.setattr(HadoopFiles, "delete", lambda self, p: (gone.append(p), delete(self, p)))
+    assert same_as_sql(spark, data, "c9_resynced") and not [p for p in gone if "doc_id=" in p]
+
+
 def test_restored_has_no_task_a_file(spark, data):
     from loomdex import queries
 
